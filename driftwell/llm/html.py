@@ -44,6 +44,7 @@ DROPPED = frozenset(
 )
 BOILERPLATE = frozenset("nav footer aside menu dialog".split())
 MAIN = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th")} | {
     k: ("td", "th") for k in ("td", "th")
@@ -64,6 +65,7 @@ class Block:
     linked: int
     main: bool
     aside: bool
+    heading: bool = False
 
 
 class _Blocks(HTMLParser):
@@ -80,7 +82,9 @@ class _Blocks(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append(Block(text, min(self.linked, len(text)), self.n["main"] > 0, self.n["aside"] > 0))
+                heading = bool(self.open) and self.open[-1][0] in HEADINGS
+                linked = min(self.linked, len(text))
+                self.blocks.append(Block(text, linked, self.n["main"] > 0, self.n["aside"] > 0, heading))
             self.parts, self.linked = [], 0
 
     def pop_to(self, at: int) -> None:
@@ -194,8 +198,8 @@ def labels(blocks: list[Block]) -> list[bool]:
                 out[i] = bool(first[left])
             elif i - left > right - i:
                 out[i] = bool(first[right])
-            else:
-                out[i] = inside or bool(first[left])
+            else:  # as near to either: a heading belongs to what follows
+                out[i] = inside or bool(first[right if b.heading else left])
     return out
 
 

@@ -191,6 +191,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
 
 def laid_out(m: Column, kind: Column, found: Column) -> Column:
     """The surrogate in the layout of the text it replaces."""
+    local, new_local, new_host = F.substring_index(m, "@", 1), F.substring_index(found, "@", 1), F.substring_index(found, "@", -1)
     signless = F.ltrim(found, F.lit("+"))
     spaced = F.aggregate(
         F.filter(F.split(m, ""), lambda c: c != ""),
@@ -202,7 +203,7 @@ def laid_out(m: Column, kind: Column, found: Column) -> Column:
         lambda a: a["s"],
     )
     return (
-        F.when(kind == "email", F.when(m == F.upper(m), F.upper(found)).otherwise(found))
+        F.when(kind == "email", F.concat(F.when(local == F.upper(local), F.upper(new_local)).otherwise(new_local), F.lit("@"), new_host))
         .when(kind == "ip", found)
         .when(kind == "name", F.concat(F.regexp_extract(m, r"^\S+ ", 0), F.regexp_replace(found, r"^\S+ ", "")))
         .otherwise(spaced)

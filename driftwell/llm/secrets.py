@@ -129,7 +129,7 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
 
     out = [(a, b, "secret") for a, b in secrets if ids.near(a, b, *scope(a)) or hosts.near(a, b, *scope(a))]
     out += [(a, b, "identifier") for a, b in identifiers if keys.near(a, b, *scope(a))]
-    out += [(a, b, "endpoint") for a, b in endpoints if keys.near(a, b, *scope(a)) and ids.near(a, b, *scope(a))]
+    out += [(a, b, "endpoint") for a, b in endpoints if keys.near(a, b, *scope(a))]
     return out
 
 
