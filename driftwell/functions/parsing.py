@@ -73,7 +73,8 @@ def parse(feed: DataFrame, compressed: bool = True) -> DataFrame:
     hash, data or metadata even if the entry does. ``compressed=False`` is for
     feeds known to hold no compressed payload and keeps Python out of the plan.
     """
-    extra = [c for c in feed.columns if c not in ("stream_id", "op", "key", "hash", "data", "meta")]
+    made = ("stream_id", "op", "key", "hash", "data", "meta", "ms", "seq", "reject_reason")
+    extra = [c for c in feed.columns if c not in made]
     data = F.col("data").cast("binary")
     rows = feed.select(
         *extra,

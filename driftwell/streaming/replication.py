@@ -8,9 +8,9 @@ version, so applying is idempotent; offsets are committed after the merge.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,15 +25,32 @@ class Store:
 
     spark: SparkSession
     folder: str
+    #: Counts observed while a batch was read, by batch, of this driver's run.
+    metrics: dict[int, dict] = field(default_factory=dict)
 
     def path(self, kind: str, version: int) -> str:
         return f"{self.folder}/{kind}/v={version}"
 
     def snapshot(self, version: int) -> DataFrame:
-        """The snapshot as of a batch; empty before the first."""
+        """The snapshot as of a batch, repaired if it was; empty before the first."""
         if version < 0:
             return self.spark.createDataFrame([], compaction.EMPTY)
-        return self.spark.read.parquet(self.path("snapshot", version))
+        n = self.repairs(version)
+        return self.spark.read.parquet(self.path(f"repaired-{n - 1}" if n else "snapshot", version))
+
+    def repairs(self, version: int) -> int:
+        """How many repairs of a batch's snapshot are complete."""
+        n = 0
+        while landing.exists(self.spark, self.path(f"repaired-{n}", version) + "/_SUCCESS"):
+            n += 1
+        return n
+
+    def commit_repair(self, merged: DataFrame, version: int) -> None:
+        """A repaired snapshot stands beside the one it was made from; the next batch starts from it."""
+        version = max(version, 0)
+        if self.latest() < 0:
+            self.spark.createDataFrame([], compaction.EMPTY).write.parquet(self.path("snapshot", version))
+        merged.write.mode("overwrite").parquet(self.path(f"repaired-{self.repairs(version)}", version))
 
     def latest(self) -> int:
         version = -1
@@ -45,7 +62,13 @@ class Store:
         return self.spark.read.parquet(*[self.path(kind, v) for v in range(self.latest() + 1)])
 
     def apply(self, feed: DataFrame, batch: int, compressed: bool = True) -> None:
-        parsed = parsing.parse(feed, compressed).persist()
+        """Apply one micro-batch: rejects, counts, cursors and metrics beside the merged snapshot."""
+        seen = Observation()
+        parsed = parsing.parse(feed, compressed).observe(
+            seen, F.count(F.lit(1)).alias("events_read"), F.count("reject_reason").alias("events_rejected"),
+            F.max("ms").cast("long").alias("newest_ms"),
+        )
+        parsed = parsed.persist()
         base = self.snapshot(batch - 1)
         pending = compaction.latest_wins(compaction.applicable(parsing.valid(parsed)))
         surviving = compaction.not_current(pending, base).persist()
@@ -57,6 +80,7 @@ class Store:
         ]
         for kind, rows in out:
             rows.write.mode("overwrite").parquet(self.path(kind, batch))
+        self.metrics[batch] = seen.get
         surviving.unpersist()
         parsed.unpersist()
 
@@ -74,6 +98,16 @@ def replicate(feed: DataFrame, store: Store, compressed: bool = True) -> Streami
     )
 
 
+def dry_run(feed: DataFrame, folder: str, compressed: bool = True) -> StreamingQuery:
+    """Parse and compact what has landed and store nothing: a sink that accepts all."""
+
+    def check(rows: DataFrame, batch: int) -> None:
+        pending = compaction.latest_wins(compaction.applicable(parsing.valid(parsing.parse(rows, compressed))))
+        pending.write.format("noop").mode("overwrite").save()
+
+    return feed.writeStream.foreachBatch(check).option("checkpointLocation", folder).trigger(availableNow=True).start()
+
+
 def caught_up(lags: DataFrame, goal_ms: int) -> bool:
     """Whether no peer lags beyond the goal: repair waits until then."""
     return lags.filter(F.col("lag_ms") > goal_ms).isEmpty()
