@@ -42,7 +42,7 @@ SYLLABLES = {
 # Patterns of entities.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
-IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
+IPV4 = r"(?<!\d)(?<!\d\.)(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7})(?!\d)"
 PHONE = r"(?:\+\d{1,3}[ .-]?|(?<!\d))(?:\(\d{1,5}\)|(?<=\+\d[ .-]|\+\d\d[ .-]|\+\d\d\d[ .-])\d{1,5}|(?<!\d)\d{3}(?=[.-]\d{3}[.-]))(?:[ .-]?\d{2,5}){2,4}(?!\d)"
