@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -39,23 +40,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage with a table any executor can read again, so that ids
     assigned while writing (partition numbers, ranks) stay as they were when an
-    executor is lost later. The table is removed when the interpreter ends.
+    executor is lost later. The table is removed when the interpreter ends, or
+    by ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/driftwell/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that nothing reads any more, and the exchanges they were made by.
+
+    Spark frees the files of an exchange when the driver's collector finds the
+    exchange unused; a driver with little work may not collect for a long time.
+    """
+    for table in tables:
+        _remove(table.sparkSession, table._written_to)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes as well as rows, for very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Bound the session's Arrow batches by bytes, so that very long texts come few at a time."""
     try:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    except Exception:  # a Spark without that setting keeps the row bound
-        return
+    except Exception:  # a Spark without that setting gets a lower row bound instead
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
+def packed_row(df: DataFrame) -> Column:
+    """All columns as one struct ``row``, so that none of their names can clash with an operator's."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

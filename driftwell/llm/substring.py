@@ -7,10 +7,11 @@ together as a segment. Three steps keep the work in proportion to the text:
 
 * minimizers are counted first, and only segments whose minimizer occurs again
   take part (a window that repeats repeats its minimizer too);
-* equal segments meet by aggregation: the earliest stays, the windows of all
-  others start earlier somewhere, so they need no search;
-* minimizers with very many segments are split into single windows, whose
-  shards are chosen by the whole window.
+* equal segments, told by 128 bits of hash, meet by aggregation: the earliest
+  stays, the windows of all others start earlier somewhere, so they need no
+  search; texts are fetched only for minimizers with different segments;
+* minimizers with very many different segments are split into single windows,
+  whose shards are chosen by the whole window.
 
 A shard sorts its segments by document and start and builds an FM-index: the
 Burrows-Wheeler transform of the word sequence in a wavelet matrix of packed
@@ -23,14 +24,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_or_empty, written
+from .common import bounded_batches, discard, text_or_empty, written
 
 WINDOW, GRAM = 20, 4
 #: Segments of one minimizer beyond which its windows are dealt out one by one.
@@ -50,24 +53,9 @@ def split_words(text: str) -> list[str]:
     return [w for w in text.split(" ") if w]
 
 
-class _Hashes:
-    """64-bit hashes of words; forgets them all when it holds too many."""
-
-    def __init__(self, most: int = 400_000):
-        self.known: dict[str, int] = {}
-        self.most = most
-
-    def of(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            for w in set(words):
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[str]) -> np.ndarray:
+    """64-bit hash of each word."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def minimizers(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -89,79 +77,139 @@ def minimizers(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tu
     return least, grams
 
 
-def _segments_of(words: list[str], hashes: _Hashes) -> tuple[np.ndarray, ...]:
-    """Minimizer, start, number of windows and occurrences (two at most) of each segment."""
-    h = hashes.of(words)
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2^64, as many as were asked for."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            n = 2 * n
+            self.up, self.down = (
+                np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)]))
+                for x in (_MIX, np.uint64(pow(int(_MIX), -1, 2**64)))
+            )
+        return self.up, self.down
+
+
+@lru_cache(maxsize=1)
+def _powers() -> _Powers:
+    """What a Python worker keeps from task to task."""
+    return _Powers()
+
+
+def _segments_of(words: list[str], powers: _Powers) -> tuple[np.ndarray, ...]:
+    """Minimizer, hash, start, number of windows and occurrences (two at most) of each segment."""
+    h = word_hashes(words)
     least, grams = minimizers(h)
     starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     ends = np.concatenate([starts[1:], [len(least)]])
     value = least[starts]
     # Occurrences of the minimizer among the grams of the segment's windows.
-    which = np.repeat(np.arange(len(starts)), ends - starts)
-    first = (grams[: len(least)] == least).astype(np.int64)
-    count = np.bincount(which, first, len(starts)).astype(np.int64)
     tail = WINDOW - GRAM
-    for k in range(1, tail + 1):  # grams that begin in the segment's last window
-        count += grams[ends - 1 + k] == value
-    return value.view(np.int64), starts, ends - starts, np.minimum(count, 2)
+    hit = np.flatnonzero(grams[: len(least)] == least)
+    count = np.bincount(np.searchsorted(starts, hit, side="right") - 1, minlength=len(starts)).astype(np.int64)
+    count += (grams[(ends - 1)[:, None] + np.arange(1, tail + 1)] == value[:, None]).sum(axis=1)
+    # Of all words of the segment: a sum with powers by place, moved to place 0.
+    up, down = powers.of(len(h))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])])
+    whole = (total[ends + WINDOW - 1] - total[starts]) * down[starts]
+    whole ^= whole >> np.uint64(31)
+    whole = whole * _MIX + (ends - starts).astype(np.uint64)
+    return value.view(np.int64), whole.view(np.int64), starts, ends - starts, np.minimum(count, 2)
+
+
+def _packed(start: np.ndarray, n: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    return start.astype(np.int64) << 33 | n << 2 | weight
+
+
+def _start(at: Column) -> Column:
+    return F.shiftright(at, 33).cast("int")
+
+
+def _count(at: Column) -> Column:
+    return F.shiftright(at, 2).bitwiseAND(F.lit(2**31 - 1)).cast("int")
+
+
+SUPER = "h long, whole long, id long, tag long, at long"
 
 
 def super_windows(docs: DataFrame) -> DataFrame:
-    """Segments (h, id, tag, start, n, weight) of every document with a window."""
+    """Segments (minimizer, hash of all words, document, start and counts in one number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        powers = _powers()
         for batch in batches:
             out: list[tuple] = []
             for i, t, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 words = split_words(text)
                 if len(words) >= WINDOW:
-                    h, start, n, weight = _segments_of(words, hashes)
-                    out.append((h, np.full(len(h), i), np.full(len(h), t), start, n, weight))
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64)] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)],
-                names=["h", "id", "tag", "start", "n", "weight"],
-            )
+                    h, whole, start, n, weight = _segments_of(words, powers)
+                    out.append((h, whole, np.full(len(h), i), np.full(len(h), t), _packed(start, n, weight)))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64)] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["h", "whole", "id", "tag", "at"])
 
-    return docs.select("id", "tag", "text").mapInArrow(run, "h long, id long, tag long, start int, n int, weight int")
+    return docs.select("id", "tag", "text").mapInArrow(run, SUPER)
 
 
-PREPARED = (
-    "doc_id long, id long, tag long, n_words long, sha string, text string, "
-    "segments array<struct<key:long,start:int,n:int,words:string>>"
-)
-_SEGMENT = pa.list_(pa.struct([("key", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.string())]))
+def sha256_of(words: list[str]) -> str:
+    return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def keep_words(words: list[str], gone: list[dict]) -> list[str]:
+    """Words that no window of the runs ``gone`` covers."""
+    edge = np.zeros(len(words) + 1, np.int64)
+    for f in gone:
+        edge[f["start"]] += 1
+        edge[f["start"] + f["n"] + WINDOW - 1] -= 1
+    keep = np.cumsum(edge[:-1]) == 0
+    return list(compress(words, keep.tolist()))
+
+
+_RUN = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
+_SEGMENT = pa.list_(pa.struct([("key", pa.int64()), ("start", pa.int32()), ("words", pa.string())]))
 _PREPARED = pa.schema(
-    [("doc_id", pa.int64()), ("id", pa.int64()), ("tag", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string())]
-    + [("text", pa.string()), ("segments", _SEGMENT)]
+    [("doc_id", pa.int64()), ("id", pa.int64()), ("tag", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64())]
+    + [("kept_sha256", pa.string()), ("text", pa.string()), ("copied", _RUN), ("segments", _SEGMENT)]
+)
+PREPARED = (
+    "doc_id long, id long, tag long, n_words long, n_removed long, kept_sha256 string, text string, "
+    "copied array<struct<start:int,n:int>>, segments array<struct<key:long,start:int,words:string>>"
 )
 
 
+def _cut(words: list[str], wanted: list[dict]) -> list[dict]:
+    """Segments with their words; those of hot minimizers as single windows under keys of their own."""
+    out = []
+    for f in wanted:
+        a, n = f["start"], f["n"]
+        if f["hot"]:
+            for p in range(a, a + n):
+                t = " ".join(words[p : p + WINDOW])
+                out.append({"key": xxhash.xxh3_64_intdigest(t) - 2**63, "start": p, "words": t})
+        else:
+            out.append({"key": f["h"], "start": a, "words": " ".join(words[a : a + n + WINDOW - 1])})
+    return out
+
+
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents without candidates get their result; the others keep text and segments."""
+    """Documents that need no search get their result; the others keep text and segments."""
     for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            words = split_words(r["text"])
-            row = {k: r[k] for k in ("doc_id", "id", "tag")} | {"n_words": len(words), "sha": None, "text": None, "segments": []}
-            if not r["found"]:
-                row["sha"] = hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
+        texts, found, copied = (batch.column(c).to_pylist() for c in ("text", "found", "copied"))
+        columns: list[list] = [[], [], [], [], [], []]
+        for text, wanted, runs in zip(texts, found, copied, strict=True):
+            words = split_words(text)
+            if wanted:
+                row = (len(words), None, None, text, runs or [], _cut(words, wanted))
             else:
-                row["text"] = r["text"]
-                for f in r["found"]:
-                    a, n = f["start"], f["n"]
-                    if f["hot"]:
-                        for p in range(a, a + n):
-                            t = " ".join(words[p : p + WINDOW])
-                            key = xxhash.xxh3_64_intdigest(t) - 2**63
-                            row["segments"].append({"key": key, "start": p, "n": 1, "words": t})
-                    else:
-                        t = " ".join(words[a : a + n + WINDOW - 1])
-                        row["segments"].append({"key": f["h"], "start": a, "n": n, "words": t})
-            rows.append(row)
-        yield pa.RecordBatch.from_pylist(rows, schema=_PREPARED)
+                kept = keep_words(words, runs) if runs else words
+                row = (len(words), len(words) - len(kept), sha256_of(kept), None, [], [])
+            for column, value in zip(columns, row, strict=True):
+                column.append(value)
+        ids = [batch.column(c) for c in ("doc_id", "id", "tag")]
+        made = [pa.array(c, f.type) for c, f in zip(columns, list(_PREPARED)[3:], strict=True)]
+        yield pa.RecordBatch.from_arrays([*ids, *made], schema=_PREPARED)
 
 
 class WaveletMatrix:
@@ -177,19 +225,22 @@ class WaveletMatrix:
             self.rows.append((b, packed, before, len(bit) - int(bit.sum())))
             order = np.concatenate([order[bit == 0], order[bit == 1]])
 
+        # Where each symbol's occurrences begin below the last row.
+        every = np.arange(1 << bits if bits < 8 else int(symbols.max(initial=0)) + 1)
+        self.origin = self._below(every, np.zeros_like(every))
+
+    def _below(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A position's place below the last row, following the symbol's bits."""
+        for b, packed, before, zeros in self.rows:
+            word = at >> 6
+            low = packed[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
+            ones = before[word] + np.bitwise_count(low)
+            at = np.where(symbol >> b & 1, zeros + ones, at - ones)
+        return at
+
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Occurrences of ``symbol`` before ``at``, element by element."""
-        begin = np.zeros_like(at)
-        for b, packed, before, zeros in self.rows:
-            one = (symbol >> b & 1).astype(bool)
-            ends = []
-            for i in (begin, at):
-                word = i >> 6
-                low = packed[word] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))
-                ones = before[word] + np.bitwise_count(low)
-                ends.append(np.where(one, zeros + ones, i - ones))
-            begin, at = ends
-        return at - begin
+        return self._below(symbol, at) - self.origin[symbol]
 
 
 def suffix_order(text: np.ndarray, least: int) -> np.ndarray:
@@ -217,7 +268,7 @@ class FmIndex:
         last = text[self.sa - 1]
         last[self.sa == 0] = 0
         counts = np.bincount(text, minlength=int(text.max()) + 1)
-        self.before = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        self.before = np.concatenate([[0], np.cumsum(counts)])
         # The suffix at 0 has no symbol before it; were it counted as a separator no pattern would notice.
         self.tree = WaveletMatrix(last, max(1, int(text.max()).bit_length()))
 
@@ -226,9 +277,11 @@ class FmIndex:
 
     def repeated(self, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Of the patterns of ``length`` symbols ending at ``ends``: those that occur again, and where first."""
-        low, high, at = np.zeros(len(ends), np.int64), np.full(len(ends), len(self.text), np.int64), ends
+        at = ends
+        low, high = self.before[self.text[at]], self.before[self.text[at] + 1]
         for step in range(length):
-            low, high = self.extend(self.text[at - step], low, high)
+            if step:
+                low, high = self.extend(self.text[at - step], low, high)
             more = high - low > 1
             low, high, at = low[more], high[more], at[more]
             if not len(at):
@@ -247,9 +300,9 @@ REMOVED = "id long, tag long, start int, n int"
 def search_shard(rows: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, int]]:
     """Runs (id, tag, start, n) of windows of a shard's segments that start earlier too.
 
-    ``rows`` are (id, tag, start, words) of segments, all different.
+    ``rows`` are (id, tag, start, words) of segments; equal rows count once.
     """
-    rows = sorted(rows, key=lambda r: r[:3])
+    rows = sorted(set(rows), key=lambda r: r[:3])
     ids: dict[str, int] = {}
     pieces, lengths = [], []
     for *_, words in rows:
@@ -294,22 +347,37 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        texts, copied, gone = (batch.column(c).to_pylist() for c in ("text", "copied", "gone"))
         rows = []
-        for r in batch.to_pylist():
-            words = split_words(r["text"])
-            edge = np.zeros(len(words) + 1, np.int64)
-            for f in r["gone"] or ():
-                edge[f["start"]] += 1
-                edge[f["start"] + f["n"] + WINDOW - 1] -= 1
-            keep = np.cumsum(edge[:-1]) == 0
-            kept = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-            sha = hashlib.sha256(" ".join(kept).encode("utf-8", "surrogatepass")).hexdigest()
-            rows.append((r["doc_id"], len(words), len(words) - len(kept), sha))
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in RESULT.split(", ")]
-        )
+        for text, runs, more in zip(texts, copied, gone, strict=True):
+            words = split_words(text)
+            kept = keep_words(words, [*(runs or ()), *(more or ())])
+            rows.append((len(words), len(words) - len(kept), sha256_of(kept)))
+        columns = list(zip(*rows, strict=True)) or [()] * 3
+        made = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=[c.split()[0] for c in RESULT.split(", ")])
+
+
+def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments to search (id, tag, h, at, hot) and copies of earlier segments (id, tag, at)."""
+    windows = written(super_windows(rows), "windows")
+    again = windows.groupBy("h").agg(F.sum(F.col("at").bitwiseAND(F.lit(3))).alias("m")).filter("m > 1").select("h")
+    repeated = written(windows.join(again, "h"), "repeated")
+    discard(windows)
+    kinds = written(
+        repeated.groupBy("h", "whole").agg(F.min(F.struct("id", "tag", "at")).alias("first"), F.count("*").alias("c")), "kinds"
+    )
+    variants = kinds.groupBy("h").agg(F.count("*").alias("v"))
+    searched = (
+        kinds.join(variants, "h")
+        .filter((F.col("v") > 1) | (F.col("first.at").bitwiseAND(F.lit(3)) > 1))
+        .select("first.*", "h", (F.col("v") > HOT).alias("hot"))
+    )
+    firsts = kinds.filter("c > 1").select("h", "whole", "first")
+    copies = repeated.join(firsts, ["h", "whole"]).filter(F.struct("id", "tag", "at") != F.col("first")).select("id", "tag", "at")
+    searched, copies = written(searched, "searched"), written(copies, "copies")
+    discard(repeated, kinds)
+    return searched, copies
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -330,29 +398,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         F.crc32(text.cast("binary")).alias("tag"),
         text.cast("string").alias("text"),
     )
-    windows = written(super_windows(rows), "windows")
-    again = windows.groupBy("h").agg(F.sum("weight").alias("m")).filter("m > 1")
-    found = windows.join(again, "h").groupBy("id", "tag").agg(
-        F.collect_set(F.struct("h", "start", "n", (F.col("m") > HOT).alias("hot"))).alias("found")
-    )
-    prepared = written(rows.join(found, ["id", "tag"], "left").mapInArrow(_prepare, PREPARED), "prepared")
-    segments = prepared.select("id", "tag", F.explode("segments").alias("s")).select("id", "tag", "s.*")
-    digest = F.md5("words")
-    place = F.struct("id", "tag", "start")
-    firsts = segments.groupBy("key", digest.alias("digest")).agg(F.min(F.struct("id", "tag", "start", "n", "words")).alias("f"))
-    firsts = written(firsts.select("key", "digest", "f.*"), "firsts")
-    total = firsts.agg(F.sum(F.col("n") + WINDOW - 1)).first()[0] or 0
+    searched, copies = _candidates(rows)
+    start, n = _start(F.col("at")).alias("start"), _count(F.col("at")).alias("n")
+    wanted = searched.select("id", "tag", F.struct("h", start, n, "hot").alias("f"), F.lit(None).cast("struct<start:int,n:int>").alias("c"))
+    told = wanted.unionByName(copies.select("id", "tag", F.struct(start, n).alias("c")), allowMissingColumns=True)
+    # Sets, because equal rows of one document say everything twice; both end with the document's length.
+    told = told.groupBy("id", "tag").agg(F.collect_set("f").alias("found"), F.collect_set("c").alias("copied"))
+    prepared = written(rows.join(told, ["id", "tag"], "left").mapInArrow(_prepare, PREPARED), "prepared")
+    length = F.when(F.col("hot"), n * WINDOW).otherwise(n + WINDOW - 1)
+    total = searched.agg(F.sum(length)).first()[0] or 0
+    discard(searched, copies)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_WORDS))
-    searched = firsts.select("key", "id", "tag", "start", "words").repartition(shards, "key").mapInArrow(_search, REMOVED)
-    first = F.struct("id", "tag", "start").alias("first")
-    copies = (
-        segments.select("key", digest.alias("digest"), place.alias("place"), "n")
-        .join(firsts.select("key", "digest", first), ["key", "digest"])
-        .filter("place != first")
-        .select("place.*", "n")
-    )
-    gone = searched.unionByName(copies).groupBy("id", "tag").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
-    touched = prepared.filter("text IS NOT NULL").select("doc_id", "id", "tag", "text")
+    segments = prepared.select("id", "tag", F.explode("segments").alias("s")).select("s.key", "id", "tag", "s.start", "s.words")
+    gone = segments.repartition(shards, "key").mapInArrow(_search, REMOVED)
+    gone = gone.groupBy("id", "tag").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
+    touched = prepared.filter("text IS NOT NULL").select("doc_id", "id", "tag", "text", "copied")
     result = touched.join(gone, ["id", "tag"], "left").mapInArrow(_remove, RESULT)
-    clean = prepared.filter("text IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
-    return clean.unionByName(result)
+    return prepared.filter("text IS NULL").select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(result)

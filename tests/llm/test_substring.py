@@ -37,6 +37,14 @@ def test_as_brute_force(docs, prose):
     assert sum(k[2] * n for k, n in want.items()) > 1000
 
 
+def test_equal_rows_are_one_document(spark, prose):
+    """Also when they are the ones that are searched."""
+    passage, words = prose[70][1], prose[10][1].split(" ")
+    rows = [(5, f"{' '.join(words[:9])} {passage}"), (9, f"{' '.join(words[9:20])} {passage}")]
+    df = spark.createDataFrame([*rows, *rows, (5, rows[1][1])], "doc_id long, text string")
+    assert rows_of(S.remove_repeats(df)) == brute([tuple(r) for r in df.collect()])
+
+
 def test_split_minimizers_give_the_same(docs, prose, monkeypatch):
     monkeypatch.setattr(S, "HOT", 2)
     monkeypatch.setattr(S, "SHARD_WORDS", 50)
@@ -72,9 +80,10 @@ def test_ranks(symbols, data):
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.sampled_from("abc"), min_size=20, max_size=120))
 def test_equal_windows_share_their_segment_key(words):
-    h, start, n, weight = S._segments_of(words, S._Hashes())
-    key = {}
-    for k, s, m, w in zip(h.tolist(), start.tolist(), n.tolist(), weight.tolist(), strict=True):
+    h, whole, start, n, weight = S._segments_of(words, S._Powers())
+    key, content = {}, {}
+    for k, x, s, m, w in zip(*(c.tolist() for c in (h, whole, start, n, weight)), strict=True):
+        assert content.setdefault(x, words[s : s + m + 19]) == words[s : s + m + 19]
         windows = [tuple(words[p : p + 20]) for p in range(s, s + m)]
         assert len(set(windows)) == len(windows) or w == 2
         for v in windows:
