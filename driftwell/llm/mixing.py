@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, text_or_empty, words, written
+from .common import n_words, packed_row, text_or_empty, words, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -74,7 +74,7 @@ def mix_keys(docs: DataFrame, carry: bool = False) -> DataFrame:
         n_words(text).alias("size"),
         (-F.log(uniform) / quality(text)).alias("key"),
         digest.alias("digest"),
-        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
+        *([packed_row(docs)] if carry else []),
     )
 
 

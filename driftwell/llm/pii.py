@@ -13,12 +13,10 @@ left. Only entities on a later attempt need a lookup while texts are rewritten.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import packed_row, written
 
 KEY = "driftwell-demonstration-key"
 #: Entities on a later attempt that may be written into the plan; more are joined.
@@ -241,12 +239,9 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     ones empty; entities repeated in or across rows get one surrogate; an empty
     table gives no rows.
     """
-    text = F.col("text").cast("string")
-    hinted = F.coalesce(text.rlike(HINT), F.lit(False))
-    rows = docs.withColumn("text", text)
-    described = F.transform(
-        matches(F.col("text")), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))
-    )
+    rows = docs.select(packed_row(docs), F.col("text").cast("string").alias("text"))
+    hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
+    described = F.transform(matches(F.col("text")), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
     entities = (
         rows.filter(hinted)
         .select(F.explode(described).alias("e"))
@@ -255,53 +250,45 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     )
     later = written(resolve(entities, key).filter("attempt > 0").select("kind", "norm", "attempt"), "attempts")
     n = later.count()
-    full = F.when(hinted, described)
-    none = F.lit(None).cast("map<string,int>")
-    marked = rows.withColumn("__found", full)
+    marked = rows.withColumn("found", F.when(hinted, described))
     if not n:
-        marked = marked.withColumn("__later", none)
+        marked = marked.withColumn("later", F.lit(None).cast("map<string,int>"))
     elif n <= INLINE:
-        known = reduce(
-            lambda out, r: [*out, F.lit(f"{r['kind']}|{r['norm']}"), F.lit(r["attempt"])], later.collect(), []
-        )
-        marked = marked.withColumn("__later", F.create_map(*known))
+        known = [F.lit(x) for r in later.collect() for x in (f"{r['kind']}|{r['norm']}", r["attempt"])]
+        marked = marked.withColumn("later", F.create_map(*known))
     else:
         # Texts with the same entities share a key, so no row identity is needed.
-        told = marked.withColumn("__key", F.when(F.size("__found") > 0, F.md5(F.to_json("__found"))))
+        told = marked.withColumn("key", F.when(F.size("found") > 0, F.md5(F.to_json("found"))))
         per_key = (
-            told.filter("__key IS NOT NULL")
-            .select("__key", F.explode("__found").alias("e"))
-            .select("__key", F.col("e.kind").alias("kind"), normal_form(F.col("e.m"), F.col("e.kind")).alias("norm"))
+            told.filter("key IS NOT NULL")
+            .select("key", F.explode("found").alias("e"))
+            .select("key", F.col("e.kind").alias("kind"), normal_form(F.col("e.m"), F.col("e.kind")).alias("norm"))
             .distinct()
             .join(later, ["kind", "norm"])
-            .groupBy("__key")
-            .agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("__later"))
+            .groupBy("key")
+            .agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("later"))
         )
-        marked = told.join(per_key, "__key", "left").drop("__key")
+        marked = told.join(per_key, "key", "left")
 
     def replaced(e: Column) -> Column:
         norm = normal_form(e["m"], e["kind"])
-        attempt = F.coalesce(F.get(F.array(F.try_element_at("__later", F.concat_ws("|", e["kind"], norm))), F.lit(0)), F.lit(0))
+        attempt = F.coalesce(F.try_element_at("later", F.concat_ws("|", e["kind"], norm)), F.lit(0))
         return laid_out(e["m"], e["kind"], surrogate(e["kind"], norm, attempt, key))
 
-    pieces = F.split("text", ENTITY, -1)
+    def of_kind(kind: str) -> Column:
+        return F.coalesce(F.size(F.filter("found", lambda e: e["kind"] == kind)), F.lit(0))
+
     rebuilt = F.array_join(
         F.transform(
-            F.arrays_zip(pieces.alias("a"), F.transform("__found", replaced).alias("b")),
+            F.arrays_zip(F.split("text", ENTITY, -1).alias("a"), F.transform("found", replaced).alias("b")),
             lambda z: F.concat(z["a"], F.coalesce(z["b"], F.lit(""))),
         ),
         "",
     )
-    def of_kind(kind: str) -> Column:
-        return F.coalesce(F.size(F.filter("__found", lambda e: e["kind"] == kind)), F.lit(0))
-
-    counts = F.map_from_arrays(
-        F.array(*[F.lit(k) for k in KINDS]),
-        F.array(*[of_kind(k) for k in KINDS]),
-    )
-    out = marked.withColumn("pii", counts)
-    out = out.withColumn("text", F.when(F.size("__found") > 0, rebuilt).otherwise(F.col("text")))
-    return out.drop("__found", "__later")
+    text = F.when(F.size("found") > 0, rebuilt).otherwise(F.col("text")).alias("text")
+    counts = F.map_from_arrays(F.array(*[F.lit(k) for k in KINDS]), F.array(*[of_kind(k) for k in KINDS]))
+    kept = [text if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "pii"]
+    return marked.select(*kept, counts.alias("pii"))
 
 
 def pii_rows(docs: DataFrame, key: str = KEY) -> DataFrame:

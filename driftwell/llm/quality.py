@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, WS, written
+from .common import WORD, WS, packed_row, written
 
 #: A good document of any stratum is rejected with at most this probability ...
 FALSE_REJECTION = 0.02
@@ -81,7 +81,7 @@ def text_statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
         F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("stratum"),
         text.alias("text"),
         F.filter(F.split(text, WS + "+"), lambda w: w != "").alias("words"),
-        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
+        *([packed_row(docs)] if carry else []),
     )
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     gone = lambda chars: F.length("text") - F.length(F.translate("text", chars, ""))

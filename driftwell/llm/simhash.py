@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, packed_row, written
 
 SHINGLE, SEED, BITS, LIMIT = 4, 42, 64, 4
 WIDTHS = (13, 13, 13, 13, 12)
@@ -257,13 +257,12 @@ def clusters(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: the smallest id (null ids last, then the earliest row)."""
-    told = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    ids = told.select(F.col("__row").alias("doc_id"), "text")
-    named = clusters(ids).select(F.col("doc_id").alias("__row"), "cluster")
-    ranked = told.select("__row", F.col("doc_id").cast("long").alias("id")).join(named, "__row")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row"))
-    kept = ranked.groupBy("cluster").agg(first.alias("first")).select("first.__row")
-    return told.join(kept, "__row", "left_semi").drop("__row")
+    told = written(docs.select(packed_row(docs), F.monotonically_increasing_id().alias("at")), "rows")
+    named = clusters(told.select(F.col("at").alias("doc_id"), "row.text")).select(F.col("doc_id").alias("at"), "cluster")
+    ranked = told.select("at", F.col("row.doc_id").cast("long").alias("id")).join(named, "at")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at"))
+    kept = ranked.groupBy("cluster").agg(first.alias("first")).select("first.at")
+    return told.join(kept, "at", "left_semi").select("row.*")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -41,9 +41,8 @@ def test_a_row_of_nulls(operator, docs):
 
 
 def test_stages_keep_all_columns(clashing):
-    from pyspark.sql import Row  # noqa: F401
-
     labels = clashing.sparkSession.createDataFrame([], LABELS)
-    for out in (quality.keep_good(clashing, labels), simhash.keep_one(clashing.drop("__row")), mixing.mixed_rows(clashing)):
-        assert set(out.columns) == set(clashing.columns) - ({"__row"} if "__row" not in out.columns else set())
-        assert {r.start for r in out.select("start").collect()} == {"clash"}
+    kept = (quality.keep_good(clashing, labels), simhash.keep_one(clashing), mixing.mixed_rows(clashing))
+    for out in (*kept, pii.replace_entities(clashing.drop("pii")).drop("pii")):
+        assert set(clashing.columns) - {"pii"} <= set(out.columns)
+        assert {r[0] for r in out.select("start").collect()} == {r[0] for r in out.select("__row").collect()} == {"clash"}
