@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing
 from ..operators import compaction
+from ..operators import cursors as cursor_ops
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,10 +83,8 @@ def peers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """peer-0 in the middle of its log, peer-1 before a trim, the others absent."""
-    from ..operators import cursors as ops
-
     rows = log(spark, sf_dir)
-    middle = ops.bounds(rows.filter("peer_id = 'peer-0' AND seq % 2 = 0 AND seq < 500"), "peer_id")
+    middle = cursor_ops.bounds(rows.filter("peer_id = 'peer-0' AND seq % 2 = 0 AND seq < 500"), "peer_id")
     return middle.select("peer_id", F.col("newest_id").alias("stream_id")).union(
         spark.sql("SELECT 'peer-1', '1000-5'")
     )

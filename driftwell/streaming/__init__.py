@@ -1 +1 @@
-
+"""The change log as a stream."""
