@@ -158,6 +158,22 @@ class Engine:
         replication.replicate(feed, self.store, compressed).awaitTermination()
         return self.store.latest()
 
+    def delete(self, keys: DataFrame, folder: str) -> None:
+        """Delete local keys and announce it: entries for peers are landed in ``folder``.
+
+        Replicated deletes never go this way, or they would travel in circles.
+        """
+        version = self.store.latest()
+        held = self.store.snapshot(version)
+        gone = held.join(keys.select(F.col("key").alias("object_id")).distinct(), "object_id", "left_semi").select("object_id")
+        entries = gone.select(
+            F.lit(self.settings.node_id).alias("peer_id"), F.lit(self.now_ms()).alias("ms"),
+            F.monotonically_increasing_id().alias("seq"), F.lit("DEL").alias("op"), F.col("object_id").alias("key"),
+        )
+        none = {c: F.lit(None).cast(t) for c, t in (("hash", "string"), ("data", "binary"), ("meta", "string"))}
+        landing.land(entries.withColumn("stream_id", F.concat_ws("-", "ms", "seq")).withColumns(none), folder)
+        self.store.commit_repair(held.join(gone, "object_id", "left_anti"), version)
+
     # ---- cold path
 
     def eligible(self) -> list[str]:

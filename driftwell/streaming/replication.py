@@ -32,11 +32,13 @@ class Store:
         return f"{self.folder}/{kind}/v={version}"
 
     def snapshot(self, version: int) -> DataFrame:
-        """The snapshot as of a batch, repaired if it was; empty before the first."""
+        """The snapshot as of a batch, repaired if it was; before the first batch it is empty but for repairs."""
+        n = self.repairs(version)
+        if n:
+            return self.spark.read.parquet(self.path(f"repaired-{n - 1}", version))
         if version < 0:
             return self.spark.createDataFrame([], compaction.EMPTY)
-        n = self.repairs(version)
-        return self.spark.read.parquet(self.path(f"repaired-{n - 1}" if n else "snapshot", version))
+        return self.spark.read.parquet(self.path("snapshot", version))
 
     def repairs(self, version: int) -> int:
         """How many repairs of a batch's snapshot are complete."""
@@ -47,9 +49,6 @@ class Store:
 
     def commit_repair(self, merged: DataFrame, version: int) -> None:
         """A repaired snapshot stands beside the one it was made from; the next batch starts from it."""
-        version = max(version, 0)
-        if self.latest() < 0:
-            self.spark.createDataFrame([], compaction.EMPTY).write.parquet(self.path("snapshot", version))
         merged.write.mode("overwrite").parquet(self.path(f"repaired-{self.repairs(version)}", version))
 
     def latest(self) -> int:

@@ -85,6 +85,21 @@ def test_repair_fills_an_empty_store(spark, make):
     assert items(engine) == {"k": b"1"}
 
 
+def test_a_local_delete_is_announced_and_applied(spark, make):
+    engine = make({"a": lambda: snapshot(spark, {"k": b"1", "l": b"2"})})
+    engine.start()
+    engine.repair_cycle()
+    out = landing.work_folder(spark, "out")
+    engine.delete(spark.createDataFrame([("k",), ("k",), ("unknown",)], "key string"), out)
+    assert items(engine) == {"l": b"2"}
+    other = make({"a": lambda: snapshot(spark, {"k": b"1", "l": b"2"})})
+    other.start()
+    other.repair_cycle()
+    landing.land(spark.read.parquet(out).select(*[c.split()[0] for c in FEED.split(", ")]), other.landed)
+    other.catch_up()
+    assert "k" not in items(other)
+
+
 def test_no_peer_is_a_failure(make):
     engine = make({})
     with pytest.raises(RuntimeError):
