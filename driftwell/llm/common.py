@@ -69,7 +69,7 @@ def discard(*tables: DataFrame) -> None:
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the session's Arrow batches by bytes, so that very long texts come few at a time."""
     try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     except Exception:  # a Spark without that setting gets a lower row bound instead
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 

@@ -10,8 +10,8 @@ together as a segment. Three steps keep the work in proportion to the text:
 * equal segments, told by 128 bits of hash, meet by aggregation: the earliest
   stays, the windows of all others start earlier somewhere, so they need no
   search; texts are fetched only for minimizers with different segments;
-* minimizers with very many different segments are split into single windows,
-  whose shards are chosen by the whole window.
+* minimizers with very many different segments would crowd a shard: their
+  segments are split into single windows, which meet by aggregation likewise.
 
 A shard sorts its segments by document and start and builds an FM-index: the
 Burrows-Wheeler transform of the word sequence in a wavelet matrix of packed
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, discard, text_or_empty, written
 
 WINDOW, GRAM = 20, 4
-#: Segments of one minimizer beyond which its windows are dealt out one by one.
-HOT = 2000
+#: Different segments of one minimizer beyond which its windows are dealt out one by one.
+HOT = 1000
 #: Words that one shard indexes.
 SHARD_WORDS = 300_000
 #: Stands for a null id: after all others.
@@ -169,42 +169,50 @@ def keep_words(words: list[str], gone: list[dict]) -> list[str]:
 
 _RUN = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
 _SEGMENT = pa.list_(pa.struct([("key", pa.int64()), ("start", pa.int32()), ("words", pa.string())]))
+_WINDOWS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("start", pa.int32())]))
 _PREPARED = pa.schema(
     [("doc_id", pa.int64()), ("id", pa.int64()), ("tag", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64())]
-    + [("kept_sha256", pa.string()), ("text", pa.string()), ("copied", _RUN), ("segments", _SEGMENT)]
+    + [("kept_sha256", pa.string()), ("text", pa.string()), ("copied", _RUN), ("segments", _SEGMENT), ("windows", _WINDOWS)]
 )
 PREPARED = (
     "doc_id long, id long, tag long, n_words long, n_removed long, kept_sha256 string, text string, "
-    "copied array<struct<start:int,n:int>>, segments array<struct<key:long,start:int,words:string>>"
+    "copied array<struct<start:int,n:int>>, segments array<struct<key:long,start:int,words:string>>, "
+    "windows array<struct<a:long,b:long,start:int>>"
 )
 
 
-def _cut(words: list[str], wanted: list[dict]) -> list[dict]:
-    """Segments with their words; those of hot minimizers as single windows under keys of their own."""
-    out = []
-    for f in wanted:
+def _cut(words: list[str], wanted: list[dict]) -> tuple[list[dict], list[dict], list[dict]]:
+    """Segments with their words; of crowded minimizers single windows with two hashes, and those the text has had before."""
+    segments, windows, again, seen = [], [], [], set()
+    for f in sorted(wanted, key=lambda f: f["start"]):
         a, n = f["start"], f["n"]
-        if f["hot"]:
-            for p in range(a, a + n):
-                t = " ".join(words[p : p + WINDOW])
-                out.append({"key": xxhash.xxh3_64_intdigest(t) - 2**63, "start": p, "words": t})
-        else:
-            out.append({"key": f["h"], "start": a, "words": " ".join(words[a : a + n + WINDOW - 1])})
-    return out
+        if not f["hot"]:
+            segments.append({"key": f["h"], "start": a, "words": " ".join(words[a : a + n + WINDOW - 1])})
+            continue
+        for p in range(a, a + n):
+            t = " ".join(words[p : p + WINDOW]).encode("utf-8", "surrogatepass")
+            pair = (xxhash.xxh3_64_intdigest(t) - 2**63, xxhash.xxh64_intdigest(t, 1) - 2**63)
+            if pair in seen:
+                again.append({"start": p, "n": 1})
+            else:
+                seen.add(pair)
+                windows.append({"a": pair[0], "b": pair[1], "start": p})
+    return segments, windows, again
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents that need no search get their result; the others keep text and segments."""
     for batch in batches:
         texts, found, copied = (batch.column(c).to_pylist() for c in ("text", "found", "copied"))
-        columns: list[list] = [[], [], [], [], [], []]
+        columns: list[list] = [[], [], [], [], [], [], []]
         for text, wanted, runs in zip(texts, found, copied, strict=True):
             words = split_words(text)
             if wanted:
-                row = (len(words), None, None, text, runs or [], _cut(words, wanted))
+                segments, windows, again = _cut(words, wanted)
+                row = (len(words), None, None, text, [*(runs or ()), *again], segments, windows)
             else:
                 kept = keep_words(words, runs) if runs else words
-                row = (len(words), len(words) - len(kept), sha256_of(kept), None, [], [])
+                row = (len(words), len(words) - len(kept), sha256_of(kept), None, [], [], [])
             for column, value in zip(columns, row, strict=True):
                 column.append(value)
         ids = [batch.column(c) for c in ("doc_id", "id", "tag")]
@@ -371,7 +379,7 @@ def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     searched = (
         kinds.join(variants, "h")
         .filter((F.col("v") > 1) | (F.col("first.at").bitwiseAND(F.lit(3)) > 1))
-        .select("first.*", "h", (F.col("v") > HOT).alias("hot"))
+        .select("first.*", "h", (F.col("v") > F.lit(HOT)).alias("hot"))
     )
     firsts = kinds.filter("c > 1").select("h", "whole", "first")
     copies = repeated.join(firsts, ["h", "whole"]).filter(F.struct("id", "tag", "at") != F.col("first")).select("id", "tag", "at")
@@ -405,13 +413,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # Sets, because equal rows of one document say everything twice; both end with the document's length.
     told = told.groupBy("id", "tag").agg(F.collect_set("f").alias("found"), F.collect_set("c").alias("copied"))
     prepared = written(rows.join(told, ["id", "tag"], "left").mapInArrow(_prepare, PREPARED), "prepared")
-    length = F.when(F.col("hot"), n * WINDOW).otherwise(n + WINDOW - 1)
-    total = searched.agg(F.sum(length)).first()[0] or 0
+    total = searched.filter("NOT hot").agg(F.sum(n + WINDOW - 1)).first()[0] or 0
     discard(searched, copies)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_WORDS))
     segments = prepared.select("id", "tag", F.explode("segments").alias("s")).select("s.key", "id", "tag", "s.start", "s.words")
     gone = segments.repartition(shards, "key").mapInArrow(_search, REMOVED)
-    gone = gone.groupBy("id", "tag").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
+    single = prepared.select("id", "tag", F.explode("windows").alias("w"))
+    single = single.select("w.a", "w.b", F.struct("id", "tag", "w.start").alias("place"))
+    earliest = single.groupBy("a", "b").agg(F.min("place").alias("first"), F.count("*").alias("c")).filter("c > 1")
+    later = single.join(earliest, ["a", "b"]).filter("place != first").select("place.*", F.lit(1).alias("n"))
+    gone = gone.unionByName(later).groupBy("id", "tag").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
     touched = prepared.filter("text IS NOT NULL").select("doc_id", "id", "tag", "text", "copied")
     result = touched.join(gone, ["id", "tag"], "left").mapInArrow(_remove, RESULT)
     return prepared.filter("text IS NULL").select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(result)
