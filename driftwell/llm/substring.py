@@ -10,8 +10,8 @@ together as a segment. Three steps keep the work in proportion to the text:
 * equal segments, told by 128 bits of hash, meet by aggregation: the earliest
   stays, the windows of all others start earlier somewhere, so they need no
   search; texts are fetched only for minimizers with different segments;
-* minimizers with very many different segments would crowd a shard: their
-  segments are split into single windows, which meet by aggregation likewise.
+* minimizers that occur very often would crowd a shard: their segments are
+  split into single windows, which meet by aggregation likewise.
 
 A shard sorts its segments by document and start and builds an FM-index: the
 Burrows-Wheeler transform of the word sequence in a wavelet matrix of packed
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, discard, text_or_empty, written
 
 WINDOW, GRAM = 20, 4
-#: Different segments of one minimizer beyond which its windows are dealt out one by one.
+#: Occurrences of one minimizer beyond which its windows are dealt out one by one.
 HOT = 1000
 #: Words that one shard indexes.
 SHARD_WORDS = 300_000
@@ -355,11 +355,12 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, copied, gone = (batch.column(c).to_pylist() for c in ("text", "copied", "gone"))
+        names = ("text", "copied", "single", "gone", "firsts")
         rows = []
-        for text, runs, more in zip(texts, copied, gone, strict=True):
-            words = split_words(text)
-            kept = keep_words(words, [*(runs or ()), *(more or ())])
+        for text, copied, single, gone, firsts in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            words, stay = split_words(text), set(firsts or ())
+            runs = [*(copied or ()), *(gone or ()), *({"start": p, "n": 1} for p in single or () if p not in stay)]
+            kept = keep_words(words, runs)
             rows.append((len(words), len(words) - len(kept), sha256_of(kept)))
         columns = list(zip(*rows, strict=True)) or [()] * 3
         made = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)]
@@ -369,18 +370,17 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Segments to search (id, tag, h, at, hot) and copies of earlier segments (id, tag, at)."""
     windows = written(super_windows(rows), "windows")
-    again = windows.groupBy("h").agg(F.sum(F.col("at").bitwiseAND(F.lit(3))).alias("m")).filter("m > 1").select("h")
+    again = windows.groupBy("h").agg(F.sum(F.col("at").bitwiseAND(F.lit(3))).alias("m")).filter("m > 1")
+    again = again.select("h", (F.col("m") > F.lit(HOT)).alias("hot"))
     repeated = written(windows.join(again, "h"), "repeated")
     discard(windows)
-    kinds = written(
-        repeated.groupBy("h", "whole").agg(F.min(F.struct("id", "tag", "at")).alias("first"), F.count("*").alias("c")), "kinds"
-    )
-    variants = kinds.groupBy("h").agg(F.count("*").alias("v"))
-    searched = (
-        kinds.join(variants, "h")
-        .filter((F.col("v") > 1) | (F.col("first.at").bitwiseAND(F.lit(3)) > 1))
-        .select("first.*", "h", (F.col("v") > F.lit(HOT)).alias("hot"))
-    )
+    first = F.min(F.struct("id", "tag", "at")).alias("first")
+    kinds = written(repeated.groupBy("h", "whole").agg(first, F.count("*").alias("c"), F.bool_or("hot").alias("hot")), "kinds")
+    few = kinds.filter("NOT hot")
+    variants = few.groupBy("h").agg(F.count("*").alias("v"))
+    unequal = (F.col("v") > 1) | (F.col("first.at").bitwiseAND(F.lit(3)) > 1)
+    searched = few.join(variants, "h").filter(unequal).select("first.*", "h", "hot")
+    searched = searched.unionByName(kinds.filter("hot").select("first.*", "h", "hot"))
     firsts = kinds.filter("c > 1").select("h", "whole", "first")
     copies = repeated.join(firsts, ["h", "whole"]).filter(F.struct("id", "tag", "at") != F.col("first")).select("id", "tag", "at")
     searched, copies = written(searched, "searched"), written(copies, "copies")
@@ -418,11 +418,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_WORDS))
     segments = prepared.select("id", "tag", F.explode("segments").alias("s")).select("s.key", "id", "tag", "s.start", "s.words")
     gone = segments.repartition(shards, "key").mapInArrow(_search, REMOVED)
+    # Of equal single windows the earliest stays; a text loses its others, so they need not be looked up.
     single = prepared.select("id", "tag", F.explode("windows").alias("w"))
-    single = single.select("w.a", "w.b", F.struct("id", "tag", "w.start").alias("place"))
-    earliest = single.groupBy("a", "b").agg(F.min("place").alias("first"), F.count("*").alias("c")).filter("c > 1")
-    later = single.join(earliest, ["a", "b"]).filter("place != first").select("place.*", F.lit(1).alias("n"))
-    gone = gone.unionByName(later).groupBy("id", "tag").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
-    touched = prepared.filter("text IS NOT NULL").select("doc_id", "id", "tag", "text", "copied")
-    result = touched.join(gone, ["id", "tag"], "left").mapInArrow(_remove, RESULT)
+    earliest = single.groupBy("w.a", "w.b").agg(F.min(F.struct("id", "tag", "w.start")).alias("f")).select("f.*")
+    told = gone.select("id", "tag", F.struct("start", "n").alias("g"), F.lit(None).cast("int").alias("f"))
+    told = told.unionByName(earliest.select("id", "tag", F.col("start").alias("f")), allowMissingColumns=True)
+    told = told.groupBy("id", "tag").agg(F.collect_set("g").alias("gone"), F.collect_set("f").alias("firsts"))
+    touched = prepared.filter("text IS NOT NULL").select("doc_id", "id", "tag", "text", "copied", F.col("windows.start").alias("single"))
+    result = touched.join(told, ["id", "tag"], "left").mapInArrow(_remove, RESULT)
     return prepared.filter("text IS NULL").select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(result)
