@@ -65,10 +65,18 @@ def compare_roots(local: DataFrame, remote: DataFrame) -> DataFrame:
     return roots.select("local_hash", "remote_hash", verdict.alias("verdict"))
 
 
-def differing(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """Nodes of one level that are not equal: ``fetch`` (remote only or changed) or ``delete`` (local only)."""
-    a, b = local.select("path", F.col("hash").alias("l")), remote.select("path", F.col("hash").alias("r"))
-    both = a.join(b, "path", "full_outer").filter(~F.col("l").eqNullSafe(F.col("r")))
+def differing(local: DataFrame, remote: DataFrame, below: DataFrame | None = None) -> DataFrame:
+    """Nodes of one level that are not equal: ``fetch`` (remote only or changed) or ``delete`` (local only).
+
+    With ``below`` only children of its paths count; they are picked before
+    the two sides meet, in one pass over both.
+    """
+    sides = local.select("path", "hash", F.lit("l").alias("side"), *(["parent"] if below is not None else []))
+    sides = sides.unionByName(remote.select("path", "hash", F.lit("r").alias("side"), *(["parent"] if below is not None else [])))
+    if below is not None:
+        sides = sides.join(below.select(F.col("path").alias("parent")), "parent", "left_semi")
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("hash")))
+    both = sides.groupBy("path").agg(of("l").alias("l"), of("r").alias("r")).filter(~F.col("l").eqNullSafe(F.col("r")))
     return both.select("path", F.when(F.col("r").isNull(), "delete").otherwise("fetch").alias("action"))
 
 
@@ -76,13 +84,13 @@ def drill_down(local: list[DataFrame], remote: list[DataFrame]) -> DataFrame:
     """Leaf keys that differ, level by level below branches that do.
 
     Each level keeps only children of differing parents, so equal subtrees are
-    dropped as high as they are equal. Where leaves are as cheap to read as
-    nodes, ``differing`` on the leaves alone says the same with one join.
+    dropped as high as they are equal; a level reads what the level above found
+    once. Where leaves are as cheap to read as nodes, ``differing`` on the
+    leaves alone says the same with one exchange.
     """
     found = differing(local[0], remote[0])
     for a, b in zip(local[1:], remote[1:], strict=True):
-        below = found.select(F.col("path").alias("parent"))
-        found = differing(a.join(below, "parent", "left_semi"), b.join(below, "parent", "left_semi"))
+        found = differing(a, b, found)
     return found.withColumnRenamed("path", "key")
 
 

@@ -109,7 +109,9 @@ def divergent_branches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def divergent_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return merkle.drill_down(_tree(spark, sf, "local"), _tree(spark, sf, "remote"))
+    """Leaves are stored first: every level is made of them, and texts should be hashed once."""
+    sides = (landing.stored(fx.leaves(spark, sf, side), side) for side in ("local", "remote"))
+    return merkle.drill_down(*(merkle.tree(leaves, fx.DEPTH) for leaves in sides))
 
 
 def divergent_by_leaf(spark: SparkSession, sf: str) -> DataFrame:
@@ -255,8 +257,9 @@ def _streamed(spark: SparkSession, sf: str) -> replication.Store:
 
 
 def stream_apply(spark: SparkSession, sf: str) -> DataFrame:
+    """Versions are left out: a change whose content is already held is skipped and keeps the older one."""
     store = _streamed(spark, sf)
-    return _as_long(store.snapshot(store.latest()).select("object_id", "content_hash", "version"), "version")
+    return store.snapshot(store.latest()).select("object_id", "content_hash")
 
 
 def stream_cursors(spark: SparkSession, sf: str) -> DataFrame:

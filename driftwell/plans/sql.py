@@ -194,6 +194,6 @@ QUERIES: dict[str, str] = {
     "peer_items": """SELECT 'user.' || user_id AS key, CASE WHEN max(event_id) % 3 = 0 THEN replace(arg_max(props, event_id), ': ', ':')
         WHEN max(event_id) % 3 = 1 THEN 'payload-' || max(event_id) END AS content FROM events GROUP BY user_id""",
     "node_hashes": tree("SELECT path, lower(hash) AS hash FROM m1 WHERE length(hash) = 64"),
-    "stream_apply_equivalence": feed("SELECT key AS object_id, hash AS content_hash, version FROM pending WHERE op = 'PUT'"),
+    "stream_apply_equivalence": feed("SELECT key AS object_id, hash AS content_hash FROM pending WHERE op = 'PUT'"),
     "stream_cursor_table": feed("SELECT peer_id, newest_id AS stream_id FROM lim"),
 }

@@ -27,6 +27,13 @@ def land(feed: DataFrame, folder: str, files: int = 1) -> None:
     feed.repartitionByRange(files, "ms", "seq").write.mode("append").parquet(folder)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that is read several times once, below the shared folder."""
+    path, schema = work_folder(df.sparkSession, name), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def tail(spark: SparkSession, folder: str, like: DataFrame, files_per_trigger: int | None = None) -> DataFrame:
     """A stream over a landing folder; ``files_per_trigger`` bounds what one batch reads."""
     reader = spark.readStream.schema(like.schema)

@@ -75,7 +75,8 @@ def key_leaves(snapshot: DataFrame) -> DataFrame:
 
 def differences(local: DataFrame, remote: DataFrame) -> DataFrame:
     """(key, action) between two snapshots; equal buckets are dropped before their keys are compared."""
-    found = merkle.drill_down(merkle.tree(key_leaves(local), 2), merkle.tree(key_leaves(remote), 2))
+    sides = (landing.stored(key_leaves(side), "leaves") for side in (local, remote))
+    found = merkle.drill_down(*(merkle.tree(leaves, 2) for leaves in sides))
     key = F.decode(F.unhex(F.substring_index("key", ".", -1)), "utf-8")
     return found.select(key.alias("key"), "action")
 
