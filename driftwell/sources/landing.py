@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,12 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a private one only where that is unset."""
+    """A new folder below spark.checkpoint.dir; a private one only where that is unset.
+
+    It is removed when the interpreter ends.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="driftwell-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/driftwell/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/driftwell/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark keeps it; no error if the session has ended."""
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may have been stopped before the interpreter ends
+        return
 
 
 def exists(spark: SparkSession, path: str) -> bool:
