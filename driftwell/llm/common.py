@@ -2,39 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import landing
+
 #: ASCII white space as the operators' contracts define a word boundary.
 WS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a private one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="driftwell-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm, sc = spark.sparkContext._jvm, spark.sparkContext
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may have been stopped before the interpreter ends
-        return
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -44,10 +23,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     by ``discard``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/driftwell/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
+    path, schema = landing.work_folder(spark, name), df.schema
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     out = spark.read.schema(schema).parquet(path)
     out._written_to = path
     return out
@@ -60,7 +37,7 @@ def discard(*tables: DataFrame) -> None:
     exchange unused; a driver with little work may not collect for a long time.
     """
     for table in tables:
-        _remove(table.sparkSession, table._written_to)
+        landing.remove(table.sparkSession, table._written_to)
     if tables:
         gc.collect()
         tables[0].sparkSession.sparkContext._jvm.System.gc()
