@@ -51,6 +51,11 @@ HINT = rf"@|\d[-.)]?[ -]?\d|(?:{MALE_TITLES}|{FEMALE_TITLES})\.? \p{{Lu}}"
 KINDS = ("email", "iban", "ip", "ssn", "card", "phone", "name")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; expressions would otherwise repeat it wherever it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matches(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
 
@@ -93,17 +98,20 @@ def _letters(digest: Column) -> Column:
 
 def _masked(text: Column, digest: Column) -> Column:
     """Digits and letters replaced one for one, everything else kept; position by position."""
-    stream_d, stream_l = F.concat(_digits(digest), _digits(F.reverse(digest))), F.concat(_letters(digest), _letters(F.reverse(digest)))
-    return F.array_join(
-        F.transform(
+    doubled = F.concat(digest, F.reverse(digest))
+    streams = F.struct(_digits(doubled).alias("d"), _letters(doubled).alias("l"))
+
+    def swapped(stream: Column) -> Column:
+        letter = lambda i: F.substring(stream["l"], i % 128 + 1, F.lit(1))
+        return F.transform(
             F.split(text, ""),
-            lambda c, i: F.when(c.rlike(r"^\d$"), F.substring(stream_d, i % 128 + 1, F.lit(1)))
-            .when(c.rlike("^[a-z]$"), F.substring(stream_l, i % 128 + 1, F.lit(1)))
-            .when(c.rlike("^[A-Z]$"), F.upper(F.substring(stream_l, i % 128 + 1, F.lit(1))))
+            lambda c, i: F.when(c.rlike(r"^\d$"), F.substring(stream["d"], i % 128 + 1, F.lit(1)))
+            .when(c.rlike("^[a-z]$"), letter(i))
+            .when(c.rlike("^[A-Z]$"), F.upper(letter(i)))
             .otherwise(c),
-        ),
-        "",
-    )
+        )
+
+    return F.array_join(let(streams, swapped), "")
 
 
 def _luhn(digits: Column) -> Column:
@@ -122,23 +130,26 @@ def _luhn(digits: Column) -> Column:
 def _card(norm: Column, digest: Column) -> Column:
     """Issuer digit and Luhn remainder kept, so valid numbers stay valid."""
     n = F.length(norm)
-    body = F.concat(F.substring(norm, 1, 1), F.substring(_digits(digest), F.lit(1), n - 2))
-    last = F.pmod(_luhn(norm) - _luhn(F.concat(body, F.lit("0"))), F.lit(10))
-    return F.concat(body, last.cast("string"))
+    made = F.concat(F.substring(norm, 1, 1), F.substring(_digits(digest), F.lit(1), n - 2))
+    last = lambda body: F.pmod(_luhn(norm) - _luhn(F.concat(body, F.lit("0"))), F.lit(10))
+    return let(made, lambda body: F.concat(body, last(body).cast("string")))
 
 
 def _iban(norm: Column, digest: Column) -> Column:
     """Country kept, account masked, check digits computed for it."""
-    account = _masked(F.substring(norm, F.lit(5), F.length(norm) - 4), digest)
     country = F.substring(norm, 1, 2)
-    rest = F.aggregate(
-        F.split(F.concat(account, country, F.lit("00")), ""),
-        F.lit(0),
-        lambda s, c: F.when(c == "", s)
-        .when(c.rlike(r"\d"), (s * 10 + F.coalesce(c.try_cast("int"), F.lit(0))) % 97)
-        .otherwise((s * 100 + F.ascii(c) - 55) % 97),
-    )
-    return F.concat(country, F.lpad((F.lit(98) - rest).cast("string"), 2, "0"), account)
+
+    def checked(account: Column) -> Column:
+        rest = F.aggregate(
+            F.split(F.concat(account, country, F.lit("00")), ""),
+            F.lit(0),
+            lambda s, c: F.when(c == "", s)
+            .when(c.rlike(r"\d"), (s * 10 + F.coalesce(c.try_cast("int"), F.lit(0))) % 97)
+            .otherwise((s * 100 + F.ascii(c) - 55) % 97),
+        )
+        return F.concat(country, F.lpad((F.lit(98) - rest).cast("string"), 2, "0"), account)
+
+    return let(_masked(F.substring(norm, F.lit(5), F.length(norm) - 4), digest), checked)
 
 
 def _pick(values: list[str], digest: Column, at: int) -> Column:
@@ -153,38 +164,48 @@ def _name(norm: Column, attempt: Column, key: str) -> Column:
     given = F.when(F.size(tokens) > 2, F.get(tokens, F.lit(1)))
     by_surname = _digest(key, F.lit("surname"), F.lower(surname), F.when(given.isNull(), attempt).otherwise(0).cast("string"))
     by_given = _digest(key, F.lit("given"), F.lower(given), attempt.cast("string"))
+    drawn = F.struct(gender.alias("gender"), by_surname.alias("last"), by_given.alias("first"), given.isNotNull().alias("two"))
+
+    def in_script(script: str):
+        s, endings = SYLLABLES[script], {"latin": ("o", "a"), "cyrillic": ("ий", "ия")}[script]
+
+        def named(d: Column) -> Column:
+            man = d["gender"] == "m"
+            last = F.initcap(F.concat(*[_pick(s, d["last"], at) for at in (1, 3, 5, 7)]))
+            ending = F.when(man, endings[0]).otherwise(endings[1])
+            made = F.initcap(F.concat(*[_pick(s, d["first"], at) for at in (9, 11, 13)], ending))
+            listed = F.when(man, _pick(GIVEN["m", script], d["first"], 1)).otherwise(_pick(GIVEN["f", script], d["first"], 1))
+            first = F.when(d["two"], F.when(attempt > 0, made).otherwise(listed))
+            return F.concat_ws(" ", d["gender"], first, last)
 
-    def in_script(script: str) -> Column:
-        s = SYLLABLES[script]
-        last = F.initcap(F.concat(*[_pick(s, by_surname, at) for at in (1, 3, 5, 7)]))
-        endings = {"latin": ("o", "a"), "cyrillic": ("ий", "ия")}[script]
-        made = F.initcap(F.concat(_pick(s, by_given, 9), _pick(s, by_given, 11), _pick(s, by_given, 13), F.when(gender == "m", endings[0]).otherwise(endings[1])))
-        first = F.when(attempt > 0, made).when(gender == "m", _pick(GIVEN["m", script], by_given, 1)).otherwise(_pick(GIVEN["f", script], by_given, 1))
-        return F.concat_ws(" ", gender, F.when(given.isNotNull(), first), last)
+        return let(drawn, named)
 
     return F.when(norm.rlike(r"\p{IsCyrillic}"), in_script("cyrillic")).otherwise(in_script("latin"))
 
 
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """The surrogate's normal form for an entity's normal form and attempt."""
-    digest = _digest(key, kind, norm, attempt.cast("string"))
     local, host = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
-    more = F.when(attempt > 0, F.substring(_digits(digest), 33, 6)).otherwise("")
-    email = F.concat(
-        _masked(local, digest), more, F.lit("@"),
-        _masked(F.regexp_replace(host, r"\.[^.]*$", ""), _digest(key, F.lit("host"), host)), F.lit(".example"),
-    )
-    octet = lambda i: (F.conv(F.substring(digest, 1 + 4 * i, 4), 16, 10).cast("int") % 254 + 1).cast("string")
-    return (
-        F.when(kind == "email", email)
-        .when(kind == "iban", _iban(norm, digest))
-        .when(kind == "ip", F.concat_ws(".", *[octet(i) for i in range(4)]))
-        .when(kind == "card", _card(norm, digest))
-        .when(kind == "name", _name(norm, attempt, key))
-        # An international number keeps its zone digit, whatever its spelling.
-        .when(norm.startswith("+"), F.concat(F.substring(norm, 1, 2), F.substring(_digits(digest), F.lit(1), F.length(norm) - 2)))
-        .otherwise(F.substring(_digits(digest), F.lit(1), F.length(norm)))
-    )
+
+    def made(digest: Column) -> Column:
+        more = F.when(attempt > 0, F.substring(_digits(digest), 33, 6)).otherwise("")
+        email = F.concat(
+            _masked(local, digest), more, F.lit("@"),
+            _masked(F.regexp_replace(host, r"\.[^.]*$", ""), _digest(key, F.lit("host"), host)), F.lit(".example"),
+        )
+        octet = lambda i: (F.conv(F.substring(digest, 1 + 4 * i, 4), 16, 10).cast("int") % 254 + 1).cast("string")
+        return (
+            F.when(kind == "email", email)
+            .when(kind == "iban", _iban(norm, digest))
+            .when(kind == "ip", F.concat_ws(".", *[octet(i) for i in range(4)]))
+            .when(kind == "card", _card(norm, digest))
+            .when(kind == "name", _name(norm, attempt, key))
+            # An international number keeps its zone digit, whatever its spelling.
+            .when(norm.startswith("+"), F.concat(F.substring(norm, 1, 2), F.substring(_digits(digest), F.lit(1), F.length(norm) - 2)))
+            .otherwise(F.substring(_digits(digest), F.lit(1), F.length(norm)))
+        )
+
+    return let(_digest(key, kind, norm, attempt.cast("string")), made)
 
 
 def laid_out(m: Column, kind: Column, found: Column) -> Column:
@@ -271,9 +292,10 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
         marked = told.join(per_key, "key", "left")
 
     def replaced(e: Column) -> Column:
-        norm = normal_form(e["m"], e["kind"])
-        attempt = F.coalesce(F.try_element_at("later", F.concat_ws("|", e["kind"], norm)), F.lit(0))
-        return laid_out(e["m"], e["kind"], surrogate(e["kind"], norm, attempt, key))
+        attempt = lambda n: F.coalesce(F.try_element_at("later", F.concat_ws("|", e["kind"], n)), F.lit(0))
+        known = let(normal_form(e["m"], e["kind"]), lambda n: F.struct(n.alias("norm"), attempt(n).alias("attempt")))
+        found = let(known, lambda k: surrogate(e["kind"], k["norm"], k["attempt"], key))
+        return let(found, lambda f: laid_out(e["m"], e["kind"], f))
 
     def of_kind(kind: str) -> Column:
         return F.coalesce(F.size(F.filter("found", lambda e: e["kind"] == kind)), F.lit(0))
