@@ -8,7 +8,9 @@ rate were the rule's share of the permitted one. A cutoff may be used only if
 that probability is below the significance level divided by the number of all
 tests (Bonferroni over strata, rules and candidates), and the strictest such
 cutoff is taken. Strata without enough labels get no cutoff and reject nothing.
-All of it is DataFrame operations; counts per stratum, rule and candidate are
+The pipeline's stage tests nested cutoffs and the rules' combined rejection
+instead, which takes far fewer labels (``certified_paths``); the query keeps the
+tests its SQL states. All of it is DataFrame operations; counts per stratum, rule and candidate are
 the only rows that leave the documents.
 """
 
@@ -192,9 +194,86 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judged(written(text_statistics(docs), "statistics"), labels).select(*columns)
 
 
+def paths() -> list[list[tuple[str, int]]]:
+    """Orders in which cutoffs are tightened one step (rule, cutoff) at a time.
+
+    One path per rule takes that rule to its strictest cutoff and then the
+    others; the last tightens all rules in turns.
+    """
+    loosest_first = sorted(CANDIDATES, reverse=True)
+    turned = [RULES[i:] + RULES[:i] for i in range(len(RULES))]
+    return [[(r, c) for r in rules for c in loosest_first] for rules in turned] + [[(r, c) for c in loosest_first for r in RULES]]
+
+
+def first_steps() -> Column:
+    """For every path the first step at which a row is rejected, or the path's length."""
+    values = rule_values()
+    return F.array(
+        *[
+            F.least(F.lit(len(path)), *[F.when(values[r] > c, i).otherwise(len(path)) for i, (r, c) in enumerate(path)])
+            for path in paths()
+        ]
+    )
+
+
+def certified_paths(statistics: DataFrame, labels: DataFrame) -> DataFrame:
+    """``of`` (stratum), ``path``, ``depth``: the steps by which rows of the stratum may be rejected.
+
+    Each step is tested for the combined rejection by all rules, at the whole
+    permitted rate, and a path ends before its first failure (fixed sequence),
+    so the level is only divided by strata and paths. Strata with too few
+    labels for any step are pooled and tested together; the bound then holds
+    for the pool. Of a stratum's certified paths, the one that rejects most
+    rows is taken. Strata without a good label get none.
+    """
+    good = (
+        labels.select(F.col("doc_id").cast("long").alias("labelled"), F.col("quality").cast("int").alias("quality"))
+        .filter("labelled IS NOT NULL AND quality = 1")
+        .distinct()
+    )
+    passed = statistics.filter(~base_failed()).select("doc_id", "stratum", first_steps().alias("steps"))
+    held = written(passed.join(good, F.col("doc_id") == F.col("labelled")).select("stratum", "steps"), "held")
+    sizes = held.groupBy("stratum").agg(F.count("*").alias("labels"))
+    tests = F.count("*").over(Window.partitionBy(F.lit(0))) * len(paths())
+    sizes = sizes.withColumn("level", F.lit(SIGNIFICANCE) / tests)
+    few = F.col("labels") * F.log(F.lit(1.0 - FALSE_REJECTION)) > F.log("level")
+    groups = written(sizes.select(F.col("stratum").alias("of"), F.when(~few, F.col("stratum")).alias("group"), "level"), "groups")
+
+    steps = range(len(RULES) * len(CANDIDATES))
+    counts = (
+        held.join(groups, F.col("stratum") == F.col("of"))
+        .select("group", "level", F.posexplode("steps").alias("path", "step"))
+        .groupBy("group", "level", "path")
+        .agg(F.count("*").alias("n"), F.array(*[F.count_if(F.col("step") <= i) for i in steps]).alias("over"))
+        .select("group", "level", "path", "n", F.posexplode("over").alias("step", "k"))
+    )
+    n, k = F.col("n"), F.col("k")
+    tail = F.when(k > n * FALSE_REJECTION, F.lit(1.0)).otherwise(binomial_tail(k, n, FALSE_REJECTION))
+    certified = (
+        counts.withColumn("failed", tail > F.col("level"))
+        .groupBy(F.col("group").alias("tested"), "path")
+        .agg(F.coalesce(F.min(F.when(F.col("failed"), F.col("step"))), F.lit(len(steps))).alias("depth"))
+        .filter("depth > 0")
+    )
+    certified = written(groups.join(certified, F.col("group").eqNullSafe(F.col("tested"))).select("of", "group", "path", "depth"), "paths")
+    rejected = (
+        passed.join(certified, F.col("stratum") == F.col("of"))
+        .groupBy("group", "path", "depth")
+        .agg(F.count_if(F.get("steps", F.col("path")) < F.col("depth")).alias("rejected"))
+        .groupBy("group")
+        .agg(F.max(F.struct("rejected", (-F.col("path")).alias("turn"), "depth")).alias("best"))
+        .select(F.col("group").alias("taken"), (-F.col("best.turn")).alias("path"), "best.depth")
+    )
+    return groups.join(rejected, F.col("group").eqNullSafe(F.col("taken"))).select("of", "path", "depth")
+
+
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    return judged(written(text_statistics(docs, carry=True), "statistics"), labels).filter("kept").select("row.*")
+    """The rows of ``docs`` that neither the base rule nor a certified path rejects, with all their columns."""
+    statistics = written(text_statistics(docs, carry=True), "statistics")
+    found = written(certified_paths(statistics, labels), "cutoffs")
+    rows = statistics.filter(~base_failed()).join(found, F.col("stratum") == F.col("of"), "left")
+    rejected = F.coalesce(F.get(first_steps(), F.col("path")) < F.col("depth"), F.lit(False))
+    return rows.filter(~rejected).select("row.*")
 
 
 #: The same in DuckDB, with the binomial tail from lgamma.

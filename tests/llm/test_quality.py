@@ -73,6 +73,20 @@ def test_too_few_labels_reject_nothing(spark):
     assert all(r.kept for r in Q.judge(docs, labels).collect())
 
 
+@pytest.mark.parametrize(("n", "junk_stays"), [(400, True), (1400, False)])
+def test_stage_needs_few_labels(spark, n, junk_stays):
+    """A few hundred clean labels do, in a language of its own or in the pool."""
+    docs, labels = corpus(spark, n, None)
+    kept = {r.doc_id for r in Q.keep_good(docs, labels).collect()}
+    assert {i for i in range(n) if i % 4} - kept <= {1, 998}
+    assert (set(range(0, n, 4)) & kept == set(range(0, n, 4))) if junk_stays else not set(range(0, n, 4)) & kept
+
+
+def test_stage_keeps_junk_that_labels_call_good(spark):
+    docs, labels = corpus(spark, 16000, 1)
+    assert Q.keep_good(docs, labels).count() == 16000
+
+
 def test_labels_that_call_junk_good_forbid_the_cutoff(spark):
     docs, labels = corpus(spark, 16000, 1)
     assert all(r.kept for r in Q.judge(docs, labels).collect())
