@@ -38,10 +38,14 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
+def split_words(text: str | None) -> list[bytes]:
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).translate(_SPACES).split(b" ")
+    return [w for w in words if w]
+
+
 def fingerprint(text: str | None) -> int:
     """Signed 64-bit SimHash of the text's word shingles; 0 without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).translate(_SPACES).split(b" ")
-    words = [w for w in words if w]
+    words = split_words(text)
     if not words:
         return 0
     line, n = b" ".join(words), max(1, len(words) - SHINGLE + 1)
