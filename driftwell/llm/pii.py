@@ -24,8 +24,12 @@ INLINE = 1000
 ROUNDS = 40
 
 # Titles by gender, given names by gender and script, and syllables.
-MALE_TITLES = "Mr|Mister|Herr|Monsieur|Señor|Sr|Signor|Господин"
-FEMALE_TITLES = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|Госпожа"
+# In capitals, MS is a title only with its full stop.
+MALE_TITLES = "Mr|Mister|Herr|Monsieur|Señor|Sr|Signor|Господин|MR|MISTER|HERR|MONSIEUR|SEÑOR|SR|SIGNOR|ГОСПОДИН"
+FEMALE_TITLES = (
+    "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|Госпожа|MRS|MS(?=\\.)|MISS|FRAU|MADAME|MME|SEÑORA|SRA|SIGNORA|ГОСПОЖА"
+)
+PARTICLES = "von|van|vom|zu|zum|zur|der|den|dem|de|del|della|dello|degli|di|da|das|do|dos|du|des|la|las|le|los|ter|ten|af|av|bin|ibn|ben|abu|al|el"
 GIVEN = {
     ("m", "latin"): "Adrian Bruno Caspar Dario Emil Fabian Gregor Hugo Ivo Jonas Kilian Leon Marius Nils Oscar Pascal".split(),
     ("f", "latin"): "Alma Berta Clara Daria Elena Fiona Greta Helena Irma Jana Karla Lena Mira Nora Olivia Paula".split(),
@@ -38,16 +42,27 @@ SYLLABLES = {
 }
 
 # Patterns of entities.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
+EMAIL = r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]{1,64}+@[\p{L}\p{M}\p{N}-]{1,63}(?:\.[\p{L}\p{M}\p{N}-]{1,63})+"
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
 IPV4 = r"(?<!\d)(?<!\d\.)(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-CARD = r"(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7})(?!\d)"
-PHONE = r"(?:\+\d{1,3}[ .-]?|(?<!\d))(?:\(\d{1,5}\)|(?<=\+\d[ .-]|\+\d\d[ .-]|\+\d\d\d[ .-])\d{1,5}|(?<!\d)\d{3}(?=[.-]\d{3}[.-]))(?:[ .-]?\d{2,5}){2,4}(?!\d)"
-NAME = rf"(?<!\p{{L}})(?:{MALE_TITLES}|{FEMALE_TITLES})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
+GROUPED_CARD = r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5}"
+CARD = rf"(?<!\d)(?:\d{{13,19}}|{GROUPED_CARD})(?!\d)"
+# After a plus sign any grouping of 7 to 15 digits; with an area code; and national layouts.
+PHONE = "|".join(
+    (
+        r"(?<!\d)\+\d(?:[ ./-]?\(?\d\)?){6,14}(?!\d)",
+        r"(?:\+\d{1,3}[ .-]?|(?<!\d))(?:\(\d{1,5}\)|(?<=\+\d[ .-]|\+\d\d[ .-]|\+\d\d\d[ .-])\d{1,5}|(?<!\d)\d{3}(?=[.-]\d{3}[.-]))(?:[ .-]?\d{2,5}){2,4}(?!\d)",
+        r"(?<![\d.,])(?<!\d[ -])(?:\d{3} \d{3}[ -]\d{4}|0\d{2,4}[ /-]\d{5,9}|0\d{2,4}(?:[ /-]\d{2,5}){2,4}|0\d(?:[ .-]\d\d){4})(?!\d)",
+    )
+)
+# A name word may have initials before it, hyphens and apostrophes inside (but not a possessive s), particles in front.
+NAME_WORD = r"\p{Lu}(?:['’](?!s(?!\p{L}))\p{L}|[\p{L}\p{M}])[\p{L}\p{M}]*(?:(?:-|['’](?!s(?!\p{L})))\p{L}[\p{L}\p{M}]*)*"
+NAME_PART = rf"(?:(?:\p{{Lu}}\.[ -]?|(?:Dr|Prof|St)\. )*(?:(?:{PARTICLES}) )*(?:(?:[dl]['’]|(?:al|el)-)?{NAME_WORD}))"
+NAME = rf"(?<!\p{{L}})(?:{MALE_TITLES}|{FEMALE_TITLES})\.? {NAME_PART}(?: {NAME_PART})*"
 ENTITY = "|".join((EMAIL, IBAN, IPV4, SSN, CARD, PHONE, NAME))
 #: A text without any of these holds no entity.
-HINT = rf"@|\d[-.)]?[ -]?\d|(?:{MALE_TITLES}|{FEMALE_TITLES})\.? \p{{Lu}}"
+HINT = rf"@|\d[-./)]?[ -]?\(?\d|(?:{MALE_TITLES}|{FEMALE_TITLES})\.? \p{{L}}"
 KINDS = ("email", "iban", "ip", "ssn", "card", "phone", "name")
 
 
@@ -66,7 +81,7 @@ def kind_of(m: Column) -> Column:
         .when(m.rlike(r"^[A-Z]{2}\d{2}"), "iban")
         .when(m.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$"), "ip")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(m.rlike(r"^\d{13,19}$|^\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}$"), "card")
+        .when(m.rlike(rf"^(?:\d{{13,19}}|{GROUPED_CARD})$"), "card")
         .when(m.rlike(r"^[+(\d]"), "phone")
         .otherwise("name")
     )
@@ -74,12 +89,12 @@ def kind_of(m: Column) -> Column:
 
 def normal_form(m: Column, kind: Column) -> Column:
     """What all spellings of one entity share; a name keeps its title's gender in front."""
-    gender = F.when(m.rlike(rf"^(?:{MALE_TITLES})\b"), "m").otherwise("f")
+    gender = F.when(m.rlike(rf"^(?:{MALE_TITLES})[. ]"), "m").otherwise("f")
     return (
         F.when(kind == "email", F.lower(m))
         .when(kind == "ip", m)
         .when(kind == "iban", F.regexp_replace(m, " ", ""))
-        .when(kind == "name", F.concat(gender, F.lit(" "), F.regexp_replace(m, r"^\S+ ", "")))
+        .when(kind == "name", F.concat(gender, F.lit(" "), F.initcap(F.regexp_replace(m, r"^\S+ ", ""))))
         .otherwise(F.regexp_replace(m, r"(?!^\+)\D", ""))
     )
 
@@ -106,8 +121,9 @@ def _masked(text: Column, digest: Column) -> Column:
         return F.transform(
             F.split(text, ""),
             lambda c, i: F.when(c.rlike(r"^\d$"), F.substring(stream["d"], i % 128 + 1, F.lit(1)))
-            .when(c.rlike("^[a-z]$"), letter(i))
-            .when(c.rlike("^[A-Z]$"), F.upper(letter(i)))
+            .when(c.rlike(r"^\p{Lu}$"), F.upper(letter(i)))
+            .when(c.rlike(r"^[\p{L}\p{M}]$"), letter(i))
+            .when(c.rlike(r"^\p{N}$"), F.substring(stream["d"], i % 128 + 1, F.lit(1)))
             .otherwise(c),
         )
 
@@ -158,10 +174,10 @@ def _pick(values: list[str], digest: Column, at: int) -> Column:
 
 
 def _name(norm: Column, attempt: Column, key: str) -> Column:
-    """Given name by gender, surname by itself, both in the original's script."""
+    """Given name by gender and all words before the surname, surname by itself, both in the original's script."""
     tokens = F.split(norm, " ")
     gender, surname = F.get(tokens, F.lit(0)), F.element_at(tokens, -1)
-    given = F.when(F.size(tokens) > 2, F.get(tokens, F.lit(1)))
+    given = F.when(F.size(tokens) > 2, F.array_join(F.slice(tokens, F.lit(2), F.size(tokens) - 2), " "))
     by_surname = _digest(key, F.lit("surname"), F.lower(surname), F.when(given.isNull(), attempt).otherwise(0).cast("string"))
     by_given = _digest(key, F.lit("given"), F.lower(given), attempt.cast("string"))
     drawn = F.struct(gender.alias("gender"), by_surname.alias("last"), by_given.alias("first"), given.isNotNull().alias("two"))
@@ -210,6 +226,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
 
 def laid_out(m: Column, kind: Column, found: Column) -> Column:
     """The surrogate in the layout of the text it replaces."""
+    name, new_name = F.regexp_replace(m, r"^\S+ ", ""), F.regexp_replace(found, r"^\S+ ", "")
     local, new_local, new_host = F.substring_index(m, "@", 1), F.substring_index(found, "@", 1), F.substring_index(found, "@", -1)
     signless = F.ltrim(found, F.lit("+"))
     spaced = F.aggregate(
@@ -224,7 +241,7 @@ def laid_out(m: Column, kind: Column, found: Column) -> Column:
     return (
         F.when(kind == "email", F.concat(F.when(local == F.upper(local), F.upper(new_local)).otherwise(new_local), F.lit("@"), new_host))
         .when(kind == "ip", found)
-        .when(kind == "name", F.concat(F.regexp_extract(m, r"^\S+ ", 0), F.regexp_replace(found, r"^\S+ ", "")))
+        .when(kind == "name", F.concat(F.regexp_extract(m, r"^\S+ ", 0), F.when(name == F.upper(name), F.upper(new_name)).otherwise(new_name)))
         .otherwise(spaced)
     )
 

@@ -74,6 +74,33 @@ def test_collisions_are_resolved(spark, monkeypatch):
     assert rows == first
 
 
+LEAKS = [
+    ("Herr Hans Peter Müller kam", "name", "Hans Peter Müller"), ("met Ms. Anna-Maria Schmidt.", "name", "Anna Maria Schmidt"),
+    ("Mr. O'Brien's car", "name", "O'Brien"), ("MR. JOHN SMITH", "name", "JOHN SMITH"), ("Frau von der Leyen sagte", "name", "Leyen"),
+    ("Mr. J. R. Smith and", "name", "Smith"), ("Herr Dr. Weber", "name", "Weber"), ("Mme d'Artagnan", "name", "Artagnan"),
+    ("call +14155552671 now", "phone", "4155552671"), ("+4915112345678", "phone", "4915112345678"), ("+4930 1234567", "phone", "1234567"),
+    ("call 415 555 2671", "phone", "555 2671"), ("Tel. 030 1234567.", "phone", "1234567"), ("01 23 45 67 89", "phone", "45 67 89"),
+    ("card 3782 822463 10005", "card", "822463 10005"), ("3782-822463-10005", "card", "822463 10005"),
+    ("an müller@straße.example.org", "email", "ü ß ller"), ("иван@почта.рф", "email", "иван почта рф"),
+]
+
+
+def test_whole_entities_go(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(LEAKS)], "doc_id long, text string")
+    for r in P.pii_rows(df).collect():
+        text, kind, private = LEAKS[r.doc_id]
+        assert [k for k in P.KINDS if r[f"n_{k}"]] == [kind] and r[f"n_{kind}"] == 1, (text, r)
+        assert not [x for x in private.split() if x in r.text], (text, r.text)
+
+
+def test_capitals_are_the_same_name_and_what_is_no_entity_stays(spark):
+    clean = ["05-2024 and 1 000 000, 12 345 6789", "MS Office, Miss the bus", "2+2 = 4, pi 3.14159265", "Mr. and Mrs.", "000 and 0.123 45"]
+    df = spark.createDataFrame(list(enumerate(["Mr. John Smith, MR. JOHN SMITH, Mr. Smith's", *clean])), "doc_id long, text string")
+    first, *rest = [r.text for r in P.pii_rows(df).orderBy("doc_id").collect()]
+    m = re.fullmatch(r"Mr\. (\w+ (\w+)), MR\. (\w+ \w+), Mr\. (\w+)'s", first)
+    assert m[1].upper() == m[3] and m[2] == m[4] and rest == clean
+
+
 def test_another_key_gives_other_surrogates(spark):
     df = spark.createDataFrame([(1, TEXTS[0])], "doc_id long, text string")
     assert P.pii_rows(df, "other").first().text != P.pii_rows(df).first().text == P.pii_rows(df).first().text
