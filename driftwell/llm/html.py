@@ -40,7 +40,7 @@ BLOCKS = frozenset(
 )
 DROPPED = frozenset(
     """head script style noscript template svg math iframe object embed applet canvas audio video select option
-    textarea button input label form map""".split()
+    textarea button input label map""".split()
 )
 BOILERPLATE = frozenset("nav footer aside menu dialog".split())
 MAIN = frozenset("article main".split())
@@ -50,15 +50,25 @@ CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "t
     k: ("td", "th") for k in ("td", "th")
 }
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|cookies?"
+    r"(?:ads?|advert\w*|banner|sponsor\w*|promo|promos|promotions?|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|cookies?"
     r"|consent|gdpr|notices?|alert|popup|modal|overlay|share|sharing|social|related|recommended|comments?|commentlist|disqus"
-    r"|repl(?:y|ies)|footer|masthead|topbar|toolbar|newsletter|subscribe|login|signup|pagination|pager|widget)(?:$|[\s_-])",
+    r"|repl(?:y|ies)|footer|masthead|topbar|toolbar|newsletter|subscribe|login|signup|pagination|pager|widget)",
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog menu menubar alert".split())
+#: Parts of a class that say what a wrapper has around it, not what it is.
+#: Marks of elements that are never the page's text, however much they hold.
+NEVER = re.compile(r"comments?|commentlist|disqus|repl(?:y|ies)|cookies?|consent|gdpr", re.I)
+LAYOUT = frozenset("has with no without".split())
 WORDS = re.compile(r"[^\W\d_]+")
 
 
+def marks_in(value: str) -> list[str]:
+    """Marks among the words of a class or id, in tokens that are not about the layout."""
+    tokens = [[x for x in re.split("[_-]+", t) if x] for t in value.split()]
+    return [x for t in tokens if not LAYOUT.intersection(map(str.lower, t)) for x in t if MARKS.fullmatch(x)]
+
+
 @dataclass
 class Block:
     text: str
@@ -66,13 +76,16 @@ class Block:
     main: bool
     aside: bool
     heading: bool = False
+    marks: tuple[int, ...] = ()
 
 
 class _Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, str]] = []
+        self.open: list[tuple[str, str, int]] = []
+        #: Elements marked by class or id, and forms: (is a form, may be the page's text, holds a main element).
+        self.marks: list[list[bool]] = []
         self.n = {"drop": 0, "aside": 0, "main": 0}
         self.parts: list[str] = []
         self.linked = 0
@@ -84,11 +97,14 @@ class _Blocks(HTMLParser):
             if text:
                 heading = bool(self.open) and self.open[-1][0] in HEADINGS
                 linked = min(self.linked, len(text))
-                self.blocks.append(Block(text, linked, self.n["main"] > 0, self.n["aside"] > 0, heading))
+                self.blocks.append(Block(text, linked, self.n["main"] > 0, self.n["aside"] > 0, heading, self.inside()))
             self.parts, self.linked = [], 0
 
+    def inside(self) -> tuple[int, ...]:
+        return tuple(m for *_, m in self.open if m >= 0)
+
     def pop_to(self, at: int) -> None:
-        for _, kind in self.open[at:]:
+        for _, kind, _ in self.open[at:]:
             if kind:
                 self.n[kind] -= 1
         del self.open[at:]
@@ -100,7 +116,7 @@ class _Blocks(HTMLParser):
             return "aside"
         if tag not in ("html", "body"):
             for name, value in attrs:
-                if value and (name in ("class", "id") and MARKS.search(value) or name == "role" and value.lower() in ROLES):
+                if value and name == "role" and value.lower() in ROLES:
                     return "aside"
                 if value is None and name == "hidden" or name == "aria-hidden" and value == "true":
                     return "drop"
@@ -108,6 +124,18 @@ class _Blocks(HTMLParser):
             return "main"
         return ""
 
+    def has_marks(self, tag: str, attrs: list[tuple[str, str | None]]) -> list[str]:
+        if tag in ("html", "body"):
+            return []
+        return [m for name, value in attrs if value and name in ("class", "id") for m in marks_in(value)]
+
+    def mark(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        found = self.has_marks(tag, attrs)
+        if not found and tag != "form":
+            return -1
+        self.marks.append([tag == "form", not any(map(NEVER.fullmatch, found)), False])
+        return len(self.marks) - 1
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
             self.parts.append(" ")
@@ -119,16 +147,20 @@ class _Blocks(HTMLParser):
         if tag == "body" and self.n["drop"]:  # a head that was never closed
             self.cut()
             self.pop_to(0)
-        if tag in BLOCKS or kind:
+        is_main = kind == "main" and tag != "article"
+        if tag in BLOCKS or kind or self.has_marks(tag, attrs):
             self.cut()
             implied = CLOSES.get(tag, ()) + (("p",) if tag in BLOCKS else ())
             for i in range(len(self.open) - 1, max(-1, len(self.open) - 4), -1):
                 if self.open[i][0] in implied:
                     self.pop_to(i)
                     break
-            self.open.append((tag, kind))
+            self.open.append((tag, kind, self.mark(tag, attrs)))
             if kind:
                 self.n[kind] += 1
+            if is_main:
+                for m in self.inside():
+                    self.marks[m][2] = True
         elif tag == "a":
             self.link = True
 
@@ -157,7 +189,39 @@ def blocks_of(html: str) -> list[Block]:
     parser.feed(html)
     parser.close()
     parser.cut()
-    return parser.blocks
+    return settled(parser.blocks, parser.marks)
+
+
+def rich(block: Block) -> bool:
+    """Long, with many stop words and few links."""
+    words = WORDS.findall(block.text.lower()) if len(block.text) >= LONG else []
+    return bool(words) and sum(w in STOP_WORDS for w in words) >= STOPS * len(words) and block.linked <= LINKS * len(block.text)
+
+
+def settled(blocks: list[Block], marks: list[list[bool]]) -> list[Block]:
+    """Blocks with their marked elements decided: such an element is an aside, and what a form holds is left out.
+
+    On a page whose article is not clear otherwise, an element that holds a main
+    element or over half of the page's rich text is a wrapper and decides nothing.
+    """
+    if not any(b.marks for b in blocks):
+        return blocks
+    texts = [b for b in blocks if not b.aside and rich(b)]
+    wrappers: set[int] = set()
+    if not any(b.main and not b.marks for b in texts):
+        held = dict.fromkeys(range(len(marks)), 0)
+        for b in texts:
+            for m in b.marks:
+                held[m] += len(b.text)
+        half = sum(len(b.text) for b in texts) / 2
+        wrappers = {m for m, (_, may, main) in enumerate(marks) if may and (main or held[m] > half)}
+    out = []
+    for b in blocks:
+        left = [m for m in b.marks if m not in wrappers]
+        if not any(marks[m][0] for m in left):
+            b.aside = b.aside or bool(left)
+            out.append(b)
+    return out
 
 
 def first_pass(block: Block) -> bool | None:

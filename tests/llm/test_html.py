@@ -38,6 +38,21 @@ def test_odd_pages():
     assert H.main_text("<article>" + "<p>word word</p>" * 20000 + "</article>").count("\n") == 19999
 
 
+def test_wrappers_named_after_what_is_beside_them_keep_their_text():
+    body = f"<h2>Title</h2><p>{LONG}</p><p>Short.</p><p>{LONG}</p>"
+    want = f"Title\n{LONG}\nShort.\n{LONG}"
+    side = f'<div class="sidebar"><p>{LONG}</p></div>'
+    for tag, name in (("article", "node node--promoted node--view-mode-full"), ("div", "content has-sidebar"), ("div", "no-sidebar"),
+                      ("div", "page-with-sidebar"), ("div", "elementor-widget elementor-widget-text-editor"), ("article", "sidebar-layout")):
+        assert H.main_text(f'<body><{tag} class="{name}">{body}</{tag}>{side}</body>') == want, name
+    for inner in (body, f"<main>{body}</main>", f"<article>{body}</article>"):
+        assert H.main_text(f'<body><form action="/x"><input name=s><label>no</label>{inner}{side}</form></body>') == want
+        assert H.main_text(f'<body><div id="sidebar-page">{inner}</div>{side}</body>') == want
+    comments = f'<div class="comment-list">{"<article><p>" + LONG + "</p></article>"}</div>' * 9
+    assert H.main_text(f"<body>{body}{comments}</body>") == want
+    assert H.main_text(f"<body><p>{LONG}</p><form><p>{LONG}</form></body>") == LONG
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None)], "page_id long, url string, html string")
     rows = H.extract_pages(df).collect()
