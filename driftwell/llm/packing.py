@@ -19,6 +19,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,8 +33,12 @@ from .common import bounded_batches, written
 
 CAPACITY = 4096
 END_ID = 2
-#: Pre-tokens a worker remembers before it starts over.
-MEMORY = 600_000
+#: Bytes of pre-tokens and their ids that a worker remembers before it starts over.
+MEMORY = 64 << 20
+#: What one remembered pre-token takes besides its characters and ids.
+ENTRY = 200
+#: Pre-tokens encoded at once.
+STEP = 20_000
 
 
 def default_tokenizer() -> str:
@@ -81,6 +86,7 @@ class WordTokenizer:
             f"'s|'t|'re|'ve|'m|'ll|'d|[{self.LETTERS}]+|[{self.NUMBERS}]|[^\\s{self.LETTERS}{self.NUMBERS}]+"
         ).findall
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _learn(self, pieces: list[str]) -> None:
         ids = np.array(self.inner.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4")
@@ -91,6 +97,7 @@ class WordTokenizer:
         for piece, end in zip(pieces, (ends * 4).tolist(), strict=True):
             self.known[piece] = raw[begin:end]
             begin = end
+        self.held += len(raw) + sum(map(len, pieces)) + ENTRY * len(pieces)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -102,9 +109,12 @@ class WordTokenizer:
             try:
                 out.append(b"".join(map(self.known.__getitem__, pieces)))
             except KeyError:
-                if len(self.known) > MEMORY:
+                new = [p for p in dict.fromkeys(pieces) if p not in self.known]
+                if self.held + sum(map(len, new)) * 5 + ENTRY * len(new) > MEMORY:
                     self.known.clear()
-                self._learn([p for p in dict.fromkeys(pieces) if p not in self.known])
+                    self.held, new = 0, list(dict.fromkeys(pieces))
+                for at in range(0, len(new), STEP):
+                    self._learn(new[at : at + STEP])
                 out.append(b"".join(map(self.known.__getitem__, pieces)))
         return out
 
@@ -128,25 +138,24 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, ids in zip(
-                batch.column(0).to_pylist(),
-                _tokenizer(tokenizer).encode([t or "" for t in batch.column(1).to_pylist()]),
-                strict=True,
-            ):
-                ids += end
+            # Where each piece's document is in the batch, then the other numbers of the piece.
+            at, starts, lengths, sums, totals, ranks = (array("q") for _ in range(6))
+            for row, text in enumerate(batch.column(1)):
+                ids = _tokenizer(tokenizer).encode([text.as_py() or ""])[0] + end
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
-                    raw = ids[4 * start : 4 * (start + capacity)]
+                    raw = memoryview(ids)[4 * start : 4 * (start + capacity)]
                     length = len(raw) // 4
-                    rows.append((doc, start, length, zlib.crc32(raw), total, part, int(seen[length])))
+                    for column, value in zip((at, starts, lengths, sums, totals, ranks),
+                                             (row, start, length, zlib.crc32(raw), total, int(seen[length])), strict=True):
+                        column.append(value)
                     seen[length] += 1
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            numbers = [pa.array(np.asarray(c, np.int64)) for c in (at, starts, lengths, sums, totals, ranks)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                [batch.column(0).take(numbers[0]), numbers[1], numbers[2].cast(pa.int32()), numbers[3], numbers[4],
+                 pa.array(np.full(len(at), part, np.int32)), numbers[5]],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"],
-            )
+            )
 
     bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
@@ -224,8 +233,9 @@ def pack_documents(
     goes back.
     """
     pieces = written(token_pieces(docs, tokenizer or default_tokenizer(), capacity, end_id), "pieces")
-    held = written(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
-    counts = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    # Two columns of a written table are cheaper to read twice than a table of counts is to write.
+    held = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = _places(plan_patterns(counts, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = held.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
