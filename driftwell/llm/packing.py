@@ -34,11 +34,13 @@ from .common import bounded_batches, written
 CAPACITY = 4096
 END_ID = 2
 #: Bytes of pre-tokens and their ids that a worker remembers before it starts over.
-MEMORY = 64 << 20
+MEMORY = 96 << 20
 #: What one remembered pre-token takes besides its characters and ids.
 ENTRY = 200
 #: Pre-tokens encoded at once.
 STEP = 20_000
+#: Counts (a length in a partition) that may be broadcast, some 20 bytes each; more are joined by exchange.
+SENT = 200_000
 
 
 def default_tokenizer() -> str:
@@ -135,20 +137,24 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             # Where each piece's document is in the batch, then the other numbers of the piece.
             at, starts, lengths, sums, totals, ranks = (array("q") for _ in range(6))
-            for row, text in enumerate(batch.column(1)):
-                ids = _tokenizer(tokenizer).encode([text.as_py() or ""])[0] + end
+            encode = _tokenizer(tokenizer).encode
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                ids = encode([text or ""])[0] + end
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
-                    raw = memoryview(ids)[4 * start : 4 * (start + capacity)]
+                    raw = ids[4 * start : 4 * (start + capacity)]
                     length = len(raw) // 4
-                    for column, value in zip((at, starts, lengths, sums, totals, ranks),
-                                             (row, start, length, zlib.crc32(raw), total, int(seen[length])), strict=True):
-                        column.append(value)
+                    at.append(row)
+                    starts.append(start)
+                    lengths.append(length)
+                    sums.append(zlib.crc32(raw))
+                    totals.append(total)
+                    ranks.append(seen[length])
                     seen[length] += 1
             numbers = [pa.array(np.asarray(c, np.int64)) for c in (at, starts, lengths, sums, totals, ranks)]
             yield pa.RecordBatch.from_arrays(
@@ -235,7 +241,8 @@ def pack_documents(
     pieces = written(token_pieces(docs, tokenizer or default_tokenizer(), capacity, end_id), "pieces")
     # Two columns of a written table are cheaper to read twice than a table of counts is to write.
     held = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    histogram = held.groupBy("length").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).collect()
+    counts = {r["length"]: r["n"] for r in histogram}
     table = _places(plan_patterns(counts, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = held.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -252,7 +259,8 @@ def pack_documents(
             columns += [pa.array(row[:, 3] + inside % row[:, 2]), pa.array(row[:, 4] + inside // row[:, 2] * length)]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in OUT.split(", ")])
 
-    ranked = pieces.join(base, ["part", "length"]).select(
+    small = sum(r["parts"] for r in histogram) <= SENT
+    ranked = pieces.join(F.broadcast(base) if small else base, ["part", "length"]).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") + F.col("base")).alias("rank")
     )
     return ranked.mapInArrow(place, OUT)

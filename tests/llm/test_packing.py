@@ -59,3 +59,25 @@ def test_every_id_lies_in_one_place(docs, prose):
             at += length
         assert at <= 4096
     assert len(sequences) == -(-sum(r.length for r in rows) // 4096)
+
+
+def test_counts_beyond_the_broadcast_bound_are_joined(docs, monkeypatch):
+    show = lambda df: sorted(map(repr, df.collect()))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    few = P.pack_documents(docs)
+    monkeypatch.setattr(P, "SENT", 0)
+    docs.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    many = P.pack_documents(docs)
+    assert "BroadcastHashJoin" in plan(few) and "BroadcastHashJoin" not in plan(many)
+    assert show(few) == show(many)
+    docs.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_full_cache_starts_over(monkeypatch):
+    plain = Tokenizer.from_file(P.default_tokenizer())
+    monkeypatch.setattr(P, "MEMORY", 2000)
+    monkeypatch.setattr(P, "STEP", 3)
+    cached = P.WordTokenizer(P.default_tokenizer())
+    texts = [f"alpha{i} beta{i} gamma {'delta ' * i} omega" for i in range(20)]
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert cached.encode(texts) == want and cached.held < 6000
