@@ -10,14 +10,16 @@ together as a segment. Three steps keep the work in proportion to the text:
 * equal segments, told by 128 bits of hash, meet by aggregation: the earliest
   stays, the windows of all others start earlier somewhere, so they need no
   search; texts are fetched only for minimizers with different segments;
-* minimizers that occur very often would crowd a shard: their segments are
-  split into single windows, which meet by aggregation likewise.
+* minimizers that occur very often, or whose segments are long (runs of one
+  word), would crowd a shard: their segments are split into single windows,
+  which meet by aggregation likewise.
 
 A shard sorts its segments by document and start and builds an FM-index: the
 Burrows-Wheeler transform of the word sequence in a wavelet matrix of packed
-bits with block counts. The segments are streamed through it by backward search,
-all positions in step, dropping those whose match has become unique; a window
-matched in full is repeated if its interval's smallest position is not its own.
+bits with block counts, and every eighth place of the suffix array. The segments
+are streamed through it by backward search, all positions in step, which gives
+their matching statistics up to the threshold of 20 words; where they reach it,
+the window is repeated if the smallest place of its interval is not its own.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ from .common import bounded_batches, discard, text_or_empty, written
 WINDOW, GRAM = 20, 4
 #: Occurrences of one minimizer beyond which its windows are dealt out one by one.
 HOT = 1000
+#: Windows of one minimizer beyond which they are dealt out one by one, too.
+HOT_WINDOWS = 20_000
 #: Words that one shard indexes.
 SHARD_WORDS = 300_000
 #: Stands for a null id: after all others.
@@ -153,18 +157,18 @@ def super_windows(docs: DataFrame) -> DataFrame:
     return docs.select("id", "tag", "text").mapInArrow(run, SUPER)
 
 
-def sha256_of(words: list[str]) -> str:
-    return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
-
-
-def keep_words(words: list[str], gone: list[dict]) -> list[str]:
-    """Words that no window of the runs ``gone`` covers."""
+def outcome(words: list[str], gone: list[dict], texts: bool) -> tuple:
+    """n_words, n_removed and digest of the words that no window of the runs ``gone`` covers; with ``texts`` also kept text and spans."""
     edge = np.zeros(len(words) + 1, np.int64)
     for f in gone:
         edge[f["start"]] += 1
         edge[f["start"] + f["n"] + WINDOW - 1] -= 1
-    keep = np.cumsum(edge[:-1]) == 0
-    return list(compress(words, keep.tolist()))
+    covered = np.cumsum(edge[:-1]) > 0
+    kept = " ".join(compress(words, (~covered).tolist()) if gone else words)
+    digest = hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()
+    turns = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]))).tolist() if texts else []
+    spans = [{"start": a, "n": b - a} for a, b in zip(turns[::2], turns[1::2], strict=True)]
+    return len(words), int(covered.sum()), digest, kept if texts else None, spans if texts else None
 
 
 _RUN = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
@@ -172,11 +176,12 @@ _SEGMENT = pa.list_(pa.struct([("key", pa.int64()), ("start", pa.int32()), ("wor
 _WINDOWS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("start", pa.int32())]))
 _PREPARED = pa.schema(
     [("doc_id", pa.int64()), ("id", pa.int64()), ("tag", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64())]
-    + [("kept_sha256", pa.string()), ("text", pa.string()), ("copied", _RUN), ("segments", _SEGMENT), ("windows", _WINDOWS)]
+    + [("kept_sha256", pa.string()), ("kept", pa.string()), ("spans", _RUN), ("text", pa.string()), ("copied", _RUN)]
+    + [("segments", _SEGMENT), ("windows", _WINDOWS)]
 )
 PREPARED = (
-    "doc_id long, id long, tag long, n_words long, n_removed long, kept_sha256 string, text string, "
-    "copied array<struct<start:int,n:int>>, segments array<struct<key:long,start:int,words:string>>, "
+    "doc_id long, id long, tag long, n_words long, n_removed long, kept_sha256 string, kept string, "
+    "spans array<struct<start:int,n:int>>, text string, copied array<struct<start:int,n:int>>, segments array<struct<key:long,start:int,words:string>>, "
     "windows array<struct<a:long,b:long,start:int>>"
 )
 
@@ -200,24 +205,44 @@ def _cut(words: list[str], wanted: list[dict]) -> tuple[list[dict], list[dict],
     return segments, windows, again
 
 
-def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prepare(texts: bool):
     """Documents that need no search get their result; the others keep text and segments."""
-    for batch in batches:
-        texts, found, copied = (batch.column(c).to_pylist() for c in ("text", "found", "copied"))
-        columns: list[list] = [[], [], [], [], [], [], []]
-        for text, wanted, runs in zip(texts, found, copied, strict=True):
-            words = split_words(text)
-            if wanted:
-                segments, windows, again = _cut(words, wanted)
-                row = (len(words), None, None, text, [*(runs or ()), *again], segments, windows)
-            else:
-                kept = keep_words(words, runs) if runs else words
-                row = (len(words), len(words) - len(kept), sha256_of(kept), None, [], [], [])
-            for column, value in zip(columns, row, strict=True):
-                column.append(value)
-        ids = [batch.column(c) for c in ("doc_id", "id", "tag")]
-        made = [pa.array(c, f.type) for c, f in zip(columns, list(_PREPARED)[3:], strict=True)]
-        yield pa.RecordBatch.from_arrays([*ids, *made], schema=_PREPARED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[] for _ in list(_PREPARED)[3:]]
+            for text, wanted, copied in zip(*(batch.column(c).to_pylist() for c in ("text", "found", "copied")), strict=True):
+                words = split_words(text)
+                if wanted:
+                    segments, windows, again = _cut(words, wanted)
+                    row = (len(words), None, None, None, None, text, [*(copied or ()), *again], segments, windows)
+                else:
+                    row = (*outcome(words, copied or [], texts), None, [], [], [])
+                for column, value in zip(columns, row, strict=True):
+                    column.append(value)
+            ids = [batch.column(c) for c in ("doc_id", "id", "tag")]
+            made = [pa.array(c, f.type) for c, f in zip(columns, list(_PREPARED)[3:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*ids, *made], schema=_PREPARED)
+
+    return run
+
+
+class Bits:
+    """A packed bit sequence with the number of ones before any place."""
+
+    def __init__(self, bits: np.ndarray):
+        self.n = len(bits)
+        self.words = np.packbits(np.pad(bits.astype(np.uint8), (0, -self.n % 64 + 64)), bitorder="little").view(np.uint64)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int32)[:-1]]).astype(np.int32)
+        self.ones = int(bits.sum())
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        word = at >> 6
+        low = self.words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
+        return self.before[word] + np.bitwise_count(low)
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
 class WaveletMatrix:
@@ -227,11 +252,10 @@ class WaveletMatrix:
         self.rows = []
         order = symbols
         for b in range(bits - 1, -1, -1):
-            bit = (order >> b & 1).astype(np.uint8)
-            packed = np.packbits(np.pad(bit, (0, -len(bit) % 64 + 64)), bitorder="little").view(np.uint64)
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int32)[:-1]]).astype(np.int32)
-            self.rows.append((b, packed, before, len(bit) - int(bit.sum())))
-            order = np.concatenate([order[bit == 0], order[bit == 1]])
+            bit = (order >> b & 1).astype(bool)
+            row = Bits(bit)
+            self.rows.append((b, row, row.n - row.ones))
+            order = np.concatenate([order[~bit], order[bit]])
 
         # Where each symbol's occurrences begin below the last row.
         every = np.arange(1 << bits if bits < 8 else int(symbols.max(initial=0)) + 1)
@@ -239,10 +263,8 @@ class WaveletMatrix:
 
     def _below(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """A position's place below the last row, following the symbol's bits."""
-        for b, packed, before, zeros in self.rows:
-            word = at >> 6
-            low = packed[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
-            ones = before[word] + np.bitwise_count(low)
+        for b, row, zeros in self.rows:
+            ones = row.rank(at)
             at = np.where(symbol >> b & 1, zeros + ones, at - ones)
         return at
 
@@ -250,12 +272,21 @@ class WaveletMatrix:
         """Occurrences of ``symbol`` before ``at``, element by element."""
         return self._below(symbol, at) - self.origin[symbol]
 
+    def get(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols at ``at``, and how often each occurs before it."""
+        symbol = np.zeros(len(at), np.int64)
+        for b, row, zeros in self.rows:
+            bit, ones = row.get(at), row.rank(at)
+            symbol |= bit.astype(np.int64) << b
+            at = np.where(bit, zeros + ones, at - ones)
+        return symbol, at - self.origin[symbol]
+
 
-def suffix_order(text: np.ndarray, least: int) -> np.ndarray:
-    """Positions sorted by at least the next ``least`` symbols, then by position."""
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """Places of ``text`` by the suffixes that begin there; doubles the sorted prefix until all differ."""
     n = len(text)
     rank, span = text.astype(np.int64), 1
-    while span < least:
+    while True:
         following = np.full(n, -1, np.int64)
         following[: max(0, n - span)] = rank[span:] if span < n else rank[:0]
         pair = (rank << 32) + following + 1
@@ -263,42 +294,73 @@ def suffix_order(text: np.ndarray, least: int) -> np.ndarray:
         new = np.concatenate([[0], np.cumsum(np.diff(pair[order]) != 0)])
         rank = np.empty(n, np.int64)
         rank[order] = new
+        if new[-1] == n - 1:
+            return order
         span *= 2
-    return np.argsort(rank, kind="stable")
 
 
 class FmIndex:
-    """Backward search over a sequence of symbols; symbol 0 separates segments."""
+    """Backward search over a sequence of symbols; symbol 0 separates segments.
+
+    Holds the transform as a wavelet matrix and every eighth place of the suffix
+    array; the sequence itself only while patterns are taken from it, in the
+    narrowest whole numbers.
+    """
+
+    SAMPLE = 8
 
     def __init__(self, text: np.ndarray, longest: int):
-        self.text = text
-        self.sa = suffix_order(text, longest)
-        last = text[self.sa - 1]
-        last[self.sa == 0] = 0
-        counts = np.bincount(text, minlength=int(text.max()) + 1)
-        self.before = np.concatenate([[0], np.cumsum(counts)])
-        # The suffix at 0 has no symbol before it; were it counted as a separator no pattern would notice.
-        self.tree = WaveletMatrix(last, max(1, int(text.max()).bit_length()))
+        most = int(text.max())
+        self.text, self.longest = text.astype(np.min_scalar_type(most)), longest
+        order = suffix_order(text)
+        last = text[order - 1]
+        last[order == 0] = 0  # the suffix at 0 has no symbol before it; it is sampled, so no walk passes it
+        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=most + 1))])
+        self.tree = WaveletMatrix(last, max(1, most.bit_length()))
+        kept = order % self.SAMPLE == 0
+        self.kept, self.samples = Bits(kept), (order[kept] // self.SAMPLE).astype(np.uint32)
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.before[symbol] + self.tree.rank(symbol, low), self.before[symbol] + self.tree.rank(symbol, high)
 
-    def repeated(self, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of the patterns of ``length`` symbols ending at ``ends``: those that occur again, and where first."""
-        at = ends
-        low, high = self.before[self.text[at]], self.before[self.text[at] + 1]
-        for step in range(length):
-            if step:
-                low, high = self.extend(self.text[at - step], low, high)
+    def places(self, rows: np.ndarray) -> np.ndarray:
+        """Where in the sequence the suffixes of ``rows`` begin: steps back to a sampled place, then adds them."""
+        out, which, steps = np.empty(len(rows), np.int64), np.arange(len(rows)), 0
+        while len(rows):
+            here = self.kept.get(rows)
+            out[which[here]] = self.samples[self.kept.rank(rows[here])].astype(np.int64) * self.SAMPLE + steps
+            rows, which, steps = rows[~here], which[~here], steps + 1
+            symbol, before = self.tree.get(rows)
+            rows = self.before[symbol] + before
+        return out
+
+    def matching(self, ends: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics: how many symbols up to each end, at most ``limit``, occur again; and their intervals."""
+        length, out_low, out_high = (np.zeros(len(ends), np.int64) for _ in range(3))
+        which, at = np.arange(len(ends)), ends
+        low = high = np.zeros(0, np.int64)
+        for step in range(limit):
+            symbol = self.text[at - step].astype(np.int64)
+            low, high = self.extend(symbol, low, high) if step else (self.before[symbol], self.before[symbol + 1])
             more = high - low > 1
-            low, high, at = low[more], high[more], at[more]
+            low, high, at, which = low[more], high[more], at[more], which[more]
             if not len(at):
-                return at, at
-        kinds, which = np.unique(low, return_inverse=True)
-        top = np.empty(len(kinds), np.int64)
-        top[which] = high
-        bounds = np.stack([kinds, top], axis=1).ravel()
-        first = np.minimum.reduceat(np.append(self.sa, len(self.text)), bounds)[::2]
+                break
+            length[which], out_low[which], out_high[which] = step + 1, low, high
+        return length, out_low, out_high
+
+    def repeated(self, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the patterns of ``length`` symbols ending at ``ends``: those that occur again, and where first."""
+        matched, low, high = self.matching(ends, length)
+        whole = matched >= length
+        at, low, high = ends[whole], low[whole], high[whole]
+        if not len(at):
+            return at, at
+        kinds, where, which = np.unique(low, return_index=True, return_inverse=True)
+        size = high[where] - kinds
+        begins = np.cumsum(size) - size
+        rows = np.repeat(kinds - begins, size) + np.arange(int(size.sum()))
+        first = np.minimum.reduceat(self.places(rows), begins)
         return at, first[which]
 
 
@@ -324,7 +386,8 @@ def search_shard(rows: list[tuple[int, int, int, str]]) -> list[tuple[int, int,
     owner = np.repeat(np.arange(len(rows)), windows)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     starts = begins[owner] + offset
-    at, first = FmIndex(text, WINDOW).repeated(starts + WINDOW - 1, WINDOW)
+    index = FmIndex(text, WINDOW)
+    at, first = index.repeated(starts + WINDOW - 1, index.longest)
     again = at - WINDOW + 1
     again = again[again > first]
     again.sort()
@@ -350,28 +413,31 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<start:int,n:int>>"
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = ("text", "copied", "single", "gone", "firsts")
-        rows = []
-        for text, copied, single, gone, firsts in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-            words, stay = split_words(text), set(firsts or ())
-            runs = [*(copied or ()), *(gone or ()), *({"start": p, "n": 1} for p in single or () if p not in stay)]
-            kept = keep_words(words, runs)
-            rows.append((len(words), len(words) - len(kept), sha256_of(kept)))
-        columns = list(zip(*rows, strict=True)) or [()] * 3
-        made = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=[c.split()[0] for c in RESULT.split(", ")])
+def _remove(texts: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = ("text", "copied", "single", "gone", "firsts")
+            rows = []
+            for text, copied, single, gone, firsts in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                stay = set(firsts or ())
+                runs = [*(copied or ()), *(gone or ()), *({"start": p, "n": 1} for p in single or () if p not in stay)]
+                rows.append(outcome(split_words(text), runs, texts))
+            columns, fields = list(zip(*rows, strict=True)) or [()] * 5, list(_PREPARED)[3:8]
+            made = [pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=["doc_id", *(f.name for f in fields)])
+
+    return run
 
 
 def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Segments to search (id, tag, h, at, hot) and copies of earlier segments (id, tag, at)."""
     windows = written(super_windows(rows), "windows")
-    again = windows.groupBy("h").agg(F.sum(F.col("at").bitwiseAND(F.lit(3))).alias("m")).filter("m > 1")
-    again = again.select("h", (F.col("m") > F.lit(HOT)).alias("hot"))
+    occurrences, n = F.sum(F.col("at").bitwiseAND(F.lit(3))), F.sum(_count(F.col("at")))
+    again = windows.groupBy("h").agg(occurrences.alias("m"), n.alias("n")).filter("m > 1")
+    again = again.select("h", ((F.col("m") > F.lit(HOT)) | (F.col("n") > F.lit(HOT_WINDOWS))).alias("hot"))
     repeated = written(windows.join(again, "h"), "repeated")
     discard(windows)
     first = F.min(F.struct("id", "tag", "at")).alias("first")
@@ -388,31 +454,53 @@ def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return searched, copies
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 of every row of ``docs``.
+def _tag(text: Column, seed: int) -> Column:
+    """Checksum and 31 bits of a seeded hash in one number."""
+    more = F.xxhash64(text, F.lit(seed)).bitwiseAND(F.lit(2**31 - 1))
+    return F.shiftleft(F.crc32(text.cast("binary")), 31).bitwiseOR(more)
+
+
+def tagged(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``id`` (a null one last), ``tag`` and ``text``: rows with one id and tag have one text.
+
+    Tags that do not tell all texts of an id apart (by their SHA-256) are made
+    with another seed, until they do.
+    """
+    id_, text = F.col("doc_id").cast("long"), text_or_empty().cast("string")
+    plain = docs.select(id_.alias("doc_id"), F.coalesce(id_, F.lit(LAST_ID)).alias("id"), text.alias("text"))
+    if plain.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return plain.withColumn("tag", F.lit(0).cast("long")).select("doc_id", "id", "tag", "text")
+    seed = 0
+    while True:
+        rows = plain.withColumn("tag", _tag(F.col("text"), seed)).select("doc_id", "id", "tag", "text")
+        digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
+        told = rows.groupBy("id", "tag").agg(F.min(digest).alias("a"), F.max(digest).alias("b"))
+        if told.filter("a != b").isEmpty():
+            return rows
+        seed += 1
+
+
+def cleaned(docs: DataFrame, texts: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, ``kept`` text and removed ``spans`` (first word, words) of every row.
+
+    Kept words are joined by one space; without ``texts`` the last two are null.
 
     Null texts have no words; texts of fewer than 20 words lose nothing. Null
     ids come after all others. Rows equal in id and text count as one document
-    and get the same result; different texts under one id are told apart by
-    checksum and ordered by it. An empty table gives no rows; columns other
-    than ``doc_id`` and ``text`` are not read.
+    and get the same result; different texts under one id (or none) are told
+    apart by a tag and ordered by it, see ``tagged``. An empty table gives no
+    rows; columns other than ``doc_id`` and ``text`` are not read.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    text = text_or_empty()
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"),
-        F.crc32(text.cast("binary")).alias("tag"),
-        text.cast("string").alias("text"),
-    )
+    rows = tagged(docs)
     searched, copies = _candidates(rows)
     start, n = _start(F.col("at")).alias("start"), _count(F.col("at")).alias("n")
     wanted = searched.select("id", "tag", F.struct("h", start, n, "hot").alias("f"), F.lit(None).cast("struct<start:int,n:int>").alias("c"))
     told = wanted.unionByName(copies.select("id", "tag", F.struct(start, n).alias("c")), allowMissingColumns=True)
     # Sets, because equal rows of one document say everything twice; both end with the document's length.
     told = told.groupBy("id", "tag").agg(F.collect_set("f").alias("found"), F.collect_set("c").alias("copied"))
-    prepared = written(rows.join(told, ["id", "tag"], "left").mapInArrow(_prepare, PREPARED), "prepared")
+    prepared = written(rows.join(told, ["id", "tag"], "left").mapInArrow(_prepare(texts), PREPARED), "prepared")
     total = searched.filter("NOT hot").agg(F.sum(n + WINDOW - 1)).first()[0] or 0
     discard(searched, copies)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_WORDS))
@@ -425,5 +513,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     told = told.unionByName(earliest.select("id", "tag", F.col("start").alias("f")), allowMissingColumns=True)
     told = told.groupBy("id", "tag").agg(F.collect_set("g").alias("gone"), F.collect_set("f").alias("firsts"))
     touched = prepared.filter("text IS NOT NULL").select("doc_id", "id", "tag", "text", "copied", F.col("windows.start").alias("single"))
-    result = touched.join(told, ["id", "tag"], "left").mapInArrow(_remove, RESULT)
-    return prepared.filter("text IS NULL").select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(result)
+    result = touched.join(told, ["id", "tag"], "left").mapInArrow(_remove(texts), RESULT)
+    return prepared.filter("text IS NULL").select(*[c.split()[0] for c in RESULT.split(", ")]).unionByName(result)
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of every row of ``docs``, as ``cleaned`` says."""
+    return cleaned(docs, texts=False).drop("kept", "spans")
