@@ -4,9 +4,9 @@ A page becomes blocks of text with their stop-word density, length and link
 density. First pass: long blocks with many stop words are text; blocks made of
 links, or inside navigation, notices, adverts and the like, are not; the rest
 stay open. Second pass: open blocks take the label of the nearest decided
-blocks of their region. Inside an ``article`` or ``main`` element the density
-rules can only leave a block open, never turn it away, so an article of short
-or odd lines stays whole. Rows are independent: nothing is shuffled.
+blocks of their region. The densities decide alike whatever the elements are
+called; an ``article`` or ``main`` element only sets a region apart once the
+first pass has found text in it. Rows are independent: nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -45,6 +45,9 @@ DROPPED = frozenset(
 BOILERPLATE = frozenset("nav footer aside menu dialog".split())
 MAIN = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements an end tag of the inner ones does not reach beyond.
+BARRIERS = frozenset("article main body table nav div section".split())
+INNER = frozenset("p li td th tr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th")} | {
     k: ("td", "th") for k in ("td", "th")
@@ -84,6 +87,10 @@ class _Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
         self.open: list[tuple[str, str, int]] = []
+        #: Where in ``open`` each name stands, and where what ends a paragraph's reach; marks of the open elements.
+        self.places: dict[str, list[int]] = {}
+        self.barriers: list[int] = []
+        self.held: list[int] = []
         #: Elements marked by class or id, and forms: (is a form, may be the page's text, holds a main element).
         self.marks: list[list[bool]] = []
         self.n = {"drop": 0, "aside": 0, "main": 0}
@@ -97,14 +104,26 @@ class _Blocks(HTMLParser):
             if text:
                 heading = bool(self.open) and self.open[-1][0] in HEADINGS
                 linked = min(self.linked, len(text))
-                self.blocks.append(Block(text, linked, self.n["main"] > 0, self.n["aside"] > 0, heading, self.inside()))
+                self.blocks.append(Block(text, linked, self.n["main"] > 0, self.n["aside"] > 0, heading, tuple(self.held)))
             self.parts, self.linked = [], 0
 
-    def inside(self) -> tuple[int, ...]:
-        return tuple(m for *_, m in self.open if m >= 0)
+    def push(self, tag: str, kind: str, mark: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BARRIERS:
+            self.barriers.append(len(self.open))
+        if mark >= 0:
+            self.held.append(mark)
+        if kind:
+            self.n[kind] += 1
+        self.open.append((tag, kind, mark))
 
     def pop_to(self, at: int) -> None:
-        for _, kind, _ in self.open[at:]:
+        for tag, kind, mark in reversed(self.open[at:]):
+            self.places[tag].pop()
+            if tag in BARRIERS:
+                self.barriers.pop()
+            if mark >= 0:
+                self.held.pop()
             if kind:
                 self.n[kind] -= 1
         del self.open[at:]
@@ -155,11 +174,9 @@ class _Blocks(HTMLParser):
                 if self.open[i][0] in implied:
                     self.pop_to(i)
                     break
-            self.open.append((tag, kind, self.mark(tag, attrs)))
-            if kind:
-                self.n[kind] += 1
+            self.push(tag, kind, self.mark(tag, attrs))
             if is_main:
-                for m in self.inside():
+                for m in self.held:
                     self.marks[m][2] = True
         elif tag == "a":
             self.link = True
@@ -169,13 +186,10 @@ class _Blocks(HTMLParser):
             self.link = False
         if tag in BLOCKS:
             self.cut()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self.cut()
-                self.pop_to(i)
-                break
-            if self.open[i][0] in MAIN | {"body", "table", "nav", "div", "section"} and tag in ("p", "li", "td", "th", "tr"):
-                break
+        at = self.places.get(tag)
+        if at and not (tag in INNER and self.barriers and self.barriers[-1] > at[-1]):
+            self.cut()
+            self.pop_to(at[-1])
 
     def handle_data(self, data: str) -> None:
         if not self.n["drop"]:
@@ -225,45 +239,49 @@ def settled(blocks: list[Block], marks: list[list[bool]]) -> list[Block]:
 
 
 def first_pass(block: Block) -> bool | None:
-    """True: text; False: not; None: open."""
+    """True: text; False: not; None: open. Densities decide alike wherever a block stands; an aside is never text."""
     if block.aside:
         return False
     links = block.linked / len(block.text)
-    if links > (LINKS if not block.main else 0.8):
+    if links > LINKS:
         return False
-    words = WORDS.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-    if len(block.text) >= LONG and stops >= STOPS:
+    if rich(block):
         return True
-    if not block.main and len(block.text) >= LONG and stops < STOPS / 3 and links > 0:
+    words = WORDS.findall(block.text.lower()) if links and len(block.text) >= LONG else []
+    if words and sum(w in STOP_WORDS for w in words) < STOPS / 3 * len(words):
         return False
     return None
 
 
 def labels(blocks: list[Block]) -> list[bool]:
-    """The final label of every block, in order."""
+    """The final label of every block, in order.
+
+    Where the first pass finds text inside a main element, what lies outside is
+    not the article. A main element without any decides nothing. Open blocks
+    take the label of the nearest decided block of their region, headings at
+    equal distance that of the block below; asides are no neighbours.
+    """
     first = [first_pass(b) for b in blocks]
-    whole = any(b.main and not b.aside for b in blocks)
-    # With a main element, blocks outside it are not part of the article.
-    first = [False if whole and not b.main else v for b, v in zip(blocks, first, strict=True)]
+    confirmed = any(v and b.main for b, v in zip(blocks, first, strict=True))
+    if confirmed or all(b.main or b.aside for b in blocks):
+        region = [b.main for b in blocks]
+    else:
+        region = [True] * len(blocks)
+    first = [v if r else False for v, r in zip(first, region, strict=True)]
     out = [bool(v) for v in first]
-    for inside in (True, False):
-        decided = [i for i, b in enumerate(blocks) if b.main == inside and not b.aside and first[i] is not None]
-        for i, b in enumerate(blocks):
-            if first[i] is not None or b.main != inside:
-                continue
-            j = bisect_left(decided, i)
-            left, right = decided[j - 1] if j else None, decided[j] if j < len(decided) else None
-            if left is None and right is None:
-                out[i] = True  # nothing in this region tells against it
-            elif left is None or right is None:
-                out[i] = bool(first[right if left is None else left]) or inside
-            elif first[left] == first[right] or i - left < right - i:
-                out[i] = bool(first[left])
-            elif i - left > right - i:
-                out[i] = bool(first[right])
-            else:  # as near to either: a heading belongs to what follows
-                out[i] = inside or bool(first[right if b.heading else left])
+    decided = [i for i, b in enumerate(blocks) if region[i] and not b.aside and first[i] is not None]
+    for i, b in enumerate(blocks):
+        if first[i] is not None:
+            continue
+        j = bisect_left(decided, i)
+        left, right = decided[j - 1] if j else None, decided[j] if j < len(decided) else None
+        if left is None and right is None:
+            out[i] = True  # nothing tells against it
+        elif left is None or right is None:
+            out[i] = bool(first[right if left is None else left])
+        else:
+            nearer = right if right - i < i - left or (b.heading and right - i == i - left) else left
+            out[i] = bool(first[nearer])
     return out
 
 
