@@ -5,6 +5,10 @@ surrogate of its kind derived from a keyed digest of its normal form. The same
 entity therefore gets the same surrogate everywhere, in any spelling, and the
 original's layout (digit groups, letter case, title, script) is kept.
 
+A person's name is two entities, the surname and the given names with their
+gender, so that "Mr X" and "Mr John X" share a surname whatever else happens;
+where a document has a titled name, the surname alone is replaced there too.
+
 Distinctness is checked, not hoped for: the distinct entities of all documents
 get their surrogates, and those whose surrogate belongs to another entity, or
 is itself an entity of the documents, move to their next attempt until none is
@@ -19,16 +23,20 @@ from pyspark.sql import functions as F
 from .common import packed_row, written
 
 KEY = "driftwell-demonstration-key"
+#: The setting of a session that names its key; without it the demonstration key above is used.
+KEY_SETTING = "spark.driftwell.surrogate.key"
 #: Entities on a later attempt that may be written into the plan; more are joined.
 INLINE = 1000
 ROUNDS = 40
 
-# Titles by gender, given names by gender and script, and syllables.
+# Titles by gender, given names by gender and script, and syllables by script.
 # In capitals, MS is a title only with its full stop.
-MALE_TITLES = "Mr|Mister|Herr|Monsieur|Señor|Sr|Signor|Господин|MR|MISTER|HERR|MONSIEUR|SEÑOR|SR|SIGNOR|ГОСПОДИН"
+MALE_TITLES = "Mr|Mister|Herr|Herrn|Monsieur|Señor|Sr|Signor|Господин|Κύριος|Κύριο|السيد|MR|MISTER|HERR|MONSIEUR|SEÑOR|SR|SIGNOR|ГОСПОДИН"
 FEMALE_TITLES = (
-    "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|Госпожа|MRS|MS(?=\\.)|MISS|FRAU|MADAME|MME|SEÑORA|SRA|SIGNORA|ГОСПОЖА"
+    "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|Госпожа|Κυρία|السيدة|MRS|MS(?=\\.)|MISS|FRAU|MADAME|MME|SEÑORA|SRA|SIGNORA|ГОСПОЖА"
 )
+#: Say nothing about gender; alone they count with a full stop or in full, as others' abbreviations are common.
+OTHER_TITLES = "Dr(?=\\.)|Prof(?=\\.)|Professor|Doctor|Доктор|Профессор"
 PARTICLES = "von|van|vom|zu|zum|zur|der|den|dem|de|del|della|dello|degli|di|da|das|do|dos|du|des|la|las|le|los|ter|ten|af|av|bin|ibn|ben|abu|al|el"
 GIVEN = {
     ("m", "latin"): "Adrian Bruno Caspar Dario Emil Fabian Gregor Hugo Ivo Jonas Kilian Leon Marius Nils Oscar Pascal".split(),
@@ -37,9 +45,19 @@ GIVEN = {
     ("f", "cyrillic"): "Алла Берта Вера Галина Дарья Елена Жанна Зоя Ирина Кира Лариса Мария Нина Ольга Полина Раиса".split(),
 }
 SYLLABLES = {
-    "latin": "bar cor den fal gar hol jen kel lin mor nov pel ras sil tor ven".split(),
     "cyrillic": "бар вел гор дан жел зор кал лин мар нов пол рас сол тур фед чер".split(),
+    "greek": "βα γε δι ζο κα λε μι νο πα ρε σι το φα χε ψι θο".split(),
+    "arabic": "با تا جا حا دا را زا سا شا صا عا فا قا كا لا ما".split(),
+    "hebrew": "בא גד דו הר זי חן טל ים כר לב מי נו סע פז רם שי".split(),
+    "devanagari": "का गा चा जा टा ता दा ना पा बा मा रा ला वा सा हा".split(),
+    "hangul": "가 나 다 라 마 바 사 아 자 차 카 타 파 하 고 노".split(),
+    "han": "林 陈 周 吴 郑 冯 蒋 沈 韩 杨 朱 秦 许 何 吕 张".split(),
+    "hiragana": "か さ た な は ま や ら わ き し ち に ひ み り".split(),
+    "katakana": "カ サ タ ナ ハ マ ヤ ラ ワ キ シ チ ニ ヒ ミ リ".split(),
+    "latin": "bar cor den fal gar hol jen kel lin mor nov pel ras sil tor ven".split(),
 }
+#: Male and female endings of given names that are made of syllables.
+ENDINGS = {"latin": ("o", "a"), "cyrillic": ("ий", "ия"), "greek": ("ς", "α")}
 
 # Patterns of entities.
 EMAIL = r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]{1,64}+@[\p{L}\p{M}\p{N}-]{1,63}(?:\.[\p{L}\p{M}\p{N}-]{1,63})+"
@@ -58,11 +76,16 @@ PHONE = "|".join(
 )
 # A name word may have initials before it, hyphens and apostrophes inside (but not a possessive s), particles in front.
 NAME_WORD = r"\p{Lu}(?:['’](?!s(?!\p{L}))\p{L}|[\p{L}\p{M}])[\p{L}\p{M}]*(?:(?:-|['’](?!s(?!\p{L})))\p{L}[\p{L}\p{M}]*)*"
+# Letters without case tell no name from other words: the word after the title, two where words are spaced.
+PLAIN_NAME = r"(?:\p{IsHan}{2,4}|[\p{IsHiragana}\p{IsKatakana}]{2,8}|\p{IsHangul}{2,4}|(?:(?!\p{IsHan}|\p{IsHiragana}|\p{IsKatakana}|\p{IsHangul})\p{Lo})[\p{Lo}\p{M}]+(?: [\p{Lo}][\p{Lo}\p{M}]+)?)"
 NAME_PART = rf"(?:(?:\p{{Lu}}\.[ -]?|(?:Dr|Prof|St)\. )*(?:(?:{PARTICLES}) )*(?:(?:[dl]['’]|(?:al|el)-)?{NAME_WORD}))"
-NAME = rf"(?<!\p{{L}})(?:{MALE_TITLES}|{FEMALE_TITLES})\.? {NAME_PART}(?: {NAME_PART})*"
+TITLES = f"{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES}"
+NAME = rf"(?<!\p{{L}})(?:{TITLES})\.? (?:{NAME_PART}(?: {NAME_PART})*|{PLAIN_NAME})"
+#: The titles a name begins with; they stay.
+PREFIX = rf"^(?:(?:{TITLES}|Dr|Prof)\.? )+"
 ENTITY = "|".join((EMAIL, IBAN, IPV4, SSN, CARD, PHONE, NAME))
 #: A text without any of these holds no entity.
-HINT = rf"@|\d[-./)]?[ -]?\(?\d|(?:{MALE_TITLES}|{FEMALE_TITLES})\.? \p{{L}}"
+HINT = rf"@|\d[-./)]?[ -]?\(?\d|(?:{TITLES})\.? \p{{L}}"
 KINDS = ("email", "iban", "ip", "ssn", "card", "phone", "name")
 
 
@@ -88,17 +111,34 @@ def kind_of(m: Column) -> Column:
 
 
 def normal_form(m: Column, kind: Column) -> Column:
-    """What all spellings of one entity share; a name keeps its title's gender in front."""
-    gender = F.when(m.rlike(rf"^(?:{MALE_TITLES})[. ]"), "m").otherwise("f")
+    """What all spellings of one entity share; of a name the words without titles and particles."""
+    words = F.split(F.lower(F.regexp_replace(m, PREFIX, "")), " ")
     return (
         F.when(kind == "email", F.lower(m))
         .when(kind == "ip", m)
         .when(kind == "iban", F.regexp_replace(m, " ", ""))
-        .when(kind == "name", F.concat(gender, F.lit(" "), F.initcap(F.regexp_replace(m, r"^\S+ ", ""))))
+        .when(kind == "name", F.array_join(F.filter(words, lambda w: ~w.isin(*PARTICLES.split("|"))), " "))
         .otherwise(F.regexp_replace(m, r"(?!^\+)\D", ""))
     )
 
 
+def gender_of(m: Column) -> Column:
+    titles = F.regexp_extract(m, PREFIX, 0)
+    return F.when(titles.rlike(rf"(?:^| )(?:{FEMALE_TITLES})[. ]"), "f").when(titles.rlike(rf"(?:^| )(?:{MALE_TITLES})[. ]"), "m").otherwise("n")
+
+
+def parts_of(m: Column, kind: Column) -> Column:
+    """The entities (kind, norm) of a match: a name's surname and, if there are any, its given names with their gender."""
+
+    def of(norm: Column) -> Column:
+        part = lambda k, n: F.struct(k.alias("kind"), n.alias("norm"))
+        given = F.regexp_replace(norm, r" ?\S+$", "")
+        both = F.array(part(F.lit("surname"), F.substring_index(norm, " ", -1)), part(F.lit("given"), F.concat_ws(" ", gender_of(m), given)))
+        return F.when(kind != "name", F.array(part(kind, norm))).when(given == "", F.slice(both, 1, 1)).otherwise(both)
+
+    return let(normal_form(m, kind), of)
+
+
 def _digest(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), *parts), 256)
 
@@ -168,35 +208,51 @@ def _iban(norm: Column, digest: Column) -> Column:
     return let(_masked(F.substring(norm, F.lit(5), F.length(norm) - 4), digest), checked)
 
 
-def _pick(values: list[str], digest: Column, at: int) -> Column:
-    index = F.conv(F.substring(digest, at, 2), 16, 10).cast("int") % len(values)
-    return F.get(F.array(*[F.lit(v) for v in values]), index)
+def _at(values: Column, n: int, digest: Column, place: int) -> Column:
+    """One of ``n`` values by two digits of the digest."""
+    return F.get(values, F.conv(F.substring(digest, place, 2), 16, 10).cast("int") % n)
+
+
+def _by_script(text: Column, table: dict[str, list[str]], other: Column) -> Column:
+    """The list of the script that ``text`` has letters of."""
+    out = other
+    for script, values in reversed(table.items()):
+        if script != "latin":
+            out = F.when(text.rlike(rf"\p{{Is{script.capitalize()}}}"), F.array(*map(F.lit, values))).otherwise(out)
+    return out
 
 
-def _name(norm: Column, attempt: Column, key: str) -> Column:
-    """Given name by gender and all words before the surname, surname by itself, both in the original's script."""
-    tokens = F.split(norm, " ")
-    gender, surname = F.get(tokens, F.lit(0)), F.element_at(tokens, -1)
-    given = F.when(F.size(tokens) > 2, F.array_join(F.slice(tokens, F.lit(2), F.size(tokens) - 2), " "))
-    by_surname = _digest(key, F.lit("surname"), F.lower(surname), F.when(given.isNull(), attempt).otherwise(0).cast("string"))
-    by_given = _digest(key, F.lit("given"), F.lower(given), attempt.cast("string"))
-    drawn = F.struct(gender.alias("gender"), by_surname.alias("last"), by_given.alias("first"), given.isNotNull().alias("two"))
+def _spelled(text: Column, body) -> Column:
+    """``body`` of a function that makes a run of syllables in the script of ``text``; Latin for any that is not listed."""
+    latin = F.array(*map(F.lit, SYLLABLES["latin"]))
+    return let(
+        _by_script(text, SYLLABLES, latin),
+        lambda s: body(lambda digest, *at: F.concat(*[_at(s, 16, digest, a) for a in at])),
+    )
+
+
+def _surname(norm: Column, attempt: Column, digest: Column) -> Column:
+    """Four syllables; from the second attempt on ten, which makes 2^40 names of each script."""
+    return _spelled(norm, lambda run: F.concat(
+        run(digest, 1, 3, 5, 7), F.when(attempt > 0, F.concat(F.lit("-"), run(digest, 9, 11, 13, 15, 17, 19))).otherwise("")
+    ))
 
-    def in_script(script: str):
-        s, endings = SYLLABLES[script], {"latin": ("o", "a"), "cyrillic": ("ий", "ия")}[script]
 
-        def named(d: Column) -> Column:
-            man = d["gender"] == "m"
-            last = F.initcap(F.concat(*[_pick(s, d["last"], at) for at in (1, 3, 5, 7)]))
-            ending = F.when(man, endings[0]).otherwise(endings[1])
-            made = F.initcap(F.concat(*[_pick(s, d["first"], at) for at in (9, 11, 13)], ending))
-            listed = F.when(man, _pick(GIVEN["m", script], d["first"], 1)).otherwise(_pick(GIVEN["f", script], d["first"], 1))
-            first = F.when(d["two"], F.when(attempt > 0, made).otherwise(listed))
-            return F.concat_ws(" ", d["gender"], first, last)
+def _given(norm: Column, attempt: Column, digest: Column) -> Column:
+    """A listed name of the gender; later made of syllables, three and then eight."""
+    known, given = F.substring(norm, 1, 1), F.substring(norm, F.lit(3), F.length(norm))
+    man = F.when(known == "n", F.substring(digest, 40, 1) < "8").otherwise(known == "m")
+    none = F.array(F.lit(""), F.lit(""))
+    ending = _by_script(given, {k: list(v) for k, v in ENDINGS.items()}, F.when(given.rlike(r"\p{IsLatin}"), F.array(*map(F.lit, ENDINGS["latin"]))).otherwise(none))
 
-        return let(drawn, named)
+    def listed(gender: str) -> Column:
+        cased = {k: [x.lower() for x in v] for (g, k), v in GIVEN.items() if g == gender}
+        return _by_script(given, cased, F.when(given.rlike(r"\p{IsLatin}"), F.array(*map(F.lit, cased["latin"]))))
 
-    return F.when(norm.rlike(r"\p{IsCyrillic}"), in_script("cyrillic")).otherwise(in_script("latin"))
+    names = F.when(man, listed("m")).otherwise(listed("f"))
+    built = _spelled(given, lambda run: F.concat(run(digest, 9, 11, 13), F.when(attempt > 1, run(digest, 15, 17, 19, 21, 23)).otherwise("")))
+    made = F.concat(built, F.get(ending, F.when(man, 0).otherwise(1)))
+    return F.concat_ws(" ", known, F.coalesce(F.when(attempt == 0, _at(names, 16, digest, 1)), made))
 
 
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
@@ -215,7 +271,8 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
             .when(kind == "iban", _iban(norm, digest))
             .when(kind == "ip", F.concat_ws(".", *[octet(i) for i in range(4)]))
             .when(kind == "card", _card(norm, digest))
-            .when(kind == "name", _name(norm, attempt, key))
+            .when(kind == "surname", _surname(norm, attempt, digest))
+            .when(kind == "given", _given(norm, attempt, digest))
             # An international number keeps its zone digit, whatever its spelling.
             .when(norm.startswith("+"), F.concat(F.substring(norm, 1, 2), F.substring(_digits(digest), F.lit(1), F.length(norm) - 2)))
             .otherwise(F.substring(_digits(digest), F.lit(1), F.length(norm)))
@@ -224,9 +281,13 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     return let(_digest(key, kind, norm, attempt.cast("string")), made)
 
 
+def titled(name: Column) -> Column:
+    return F.array_join(F.transform(F.split(name, "-"), F.initcap), "-")
+
+
 def laid_out(m: Column, kind: Column, found: Column) -> Column:
     """The surrogate in the layout of the text it replaces."""
-    name, new_name = F.regexp_replace(m, r"^\S+ ", ""), F.regexp_replace(found, r"^\S+ ", "")
+    name = F.regexp_replace(m, PREFIX, "")
     local, new_local, new_host = F.substring_index(m, "@", 1), F.substring_index(found, "@", 1), F.substring_index(found, "@", -1)
     signless = F.ltrim(found, F.lit("+"))
     spaced = F.aggregate(
@@ -241,7 +302,7 @@ def laid_out(m: Column, kind: Column, found: Column) -> Column:
     return (
         F.when(kind == "email", F.concat(F.when(local == F.upper(local), F.upper(new_local)).otherwise(new_local), F.lit("@"), new_host))
         .when(kind == "ip", found)
-        .when(kind == "name", F.concat(F.regexp_extract(m, r"^\S+ ", 0), F.when(name == F.upper(name), F.upper(new_name)).otherwise(new_name)))
+        .when(kind == "name", F.concat(F.regexp_extract(m, PREFIX, 0), F.when(name == F.upper(name), F.upper(found)).otherwise(found)))
         .otherwise(spaced)
     )
 
@@ -269,21 +330,31 @@ def resolve(entities: DataFrame, key: str = KEY) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {ROUNDS} attempts: a kind has more entities than surrogates")
 
 
-def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
+def secret_key(docs: DataFrame, key: str | None) -> str:
+    return key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
+
+
+def replace_entities(docs: DataFrame, key: str | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text``, and a count of entities by kind in ``pii``.
 
-    All other columns stay as they are (a column named ``pii`` is replaced);
-    rows and their order inside a partition too. Null texts stay null, empty
-    ones empty; entities repeated in or across rows get one surrogate; an empty
-    table gives no rows.
+    ``key`` is the session's setting ``KEY_SETTING`` unless given. All other
+    columns stay as they are (a column named ``pii`` is replaced); rows and
+    their order inside a partition too. Null texts stay null, empty ones empty;
+    entities repeated in or across rows get one surrogate; an empty table gives
+    no rows. A surname that stands alone in a document that also has it with a
+    title is replaced too (three letters at least, in the same spelling); such
+    mentions are not counted.
     """
+    key = secret_key(docs, key)
     rows = docs.select(packed_row(docs), F.col("text").cast("string").alias("text"))
     hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
     described = F.transform(matches(F.col("text")), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
+    parts = lambda e: parts_of(e["m"], e["kind"])
     entities = (
         rows.filter(hinted)
         .select(F.explode(described).alias("e"))
-        .select("e.kind", normal_form(F.col("e.m"), F.col("e.kind")).alias("norm"))
+        .select(F.explode(parts(F.col("e"))).alias("p"))
+        .select("p.kind", "p.norm")
         .distinct()
     )
     later = written(resolve(entities, key).filter("attempt > 0").select("kind", "norm", "attempt"), "attempts")
@@ -295,12 +366,14 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
         known = [F.lit(x) for r in later.collect() for x in (f"{r['kind']}|{r['norm']}", r["attempt"])]
         marked = marked.withColumn("later", F.create_map(*known))
     else:
-        # Texts with the same entities share a key, so no row identity is needed.
-        told = marked.withColumn("key", F.when(F.size("found") > 0, F.md5(F.to_json("found"))))
+        # Texts with the same entities share a key, so no row identity is needed; texts without any are spread by their own.
+        key_of = F.when(F.size("found") > 0, F.md5(F.to_json("found"))).otherwise(F.concat(F.lit("-"), F.md5(F.coalesce("text", F.lit("")))))
+        told = marked.withColumn("key", key_of)
         per_key = (
-            told.filter("key IS NOT NULL")
+            told.filter(F.size("found") > 0)
             .select("key", F.explode("found").alias("e"))
-            .select("key", F.col("e.kind").alias("kind"), normal_form(F.col("e.m"), F.col("e.kind")).alias("norm"))
+            .select("key", F.explode(parts(F.col("e"))).alias("p"))
+            .select("key", "p.kind", "p.norm")
             .distinct()
             .join(later, ["kind", "norm"])
             .groupBy("key")
@@ -308,19 +381,36 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
         )
         marked = told.join(per_key, "key", "left")
 
+    def made(part: Column) -> Column:
+        attempt = F.coalesce(F.try_element_at("later", F.concat_ws("|", part["kind"], part["norm"])), F.lit(0))
+        return let(attempt, lambda n: surrogate(part["kind"], part["norm"], n, key))
+
     def replaced(e: Column) -> Column:
-        attempt = lambda n: F.coalesce(F.try_element_at("later", F.concat_ws("|", e["kind"], n)), F.lit(0))
-        known = let(normal_form(e["m"], e["kind"]), lambda n: F.struct(n.alias("norm"), attempt(n).alias("attempt")))
-        found = let(known, lambda k: surrogate(e["kind"], k["norm"], k["attempt"], key))
-        return let(found, lambda f: laid_out(e["m"], e["kind"], f))
+        """The new text, and of a name the surname it had and has."""
+
+        def of(new: Column) -> Column:
+            first, given = F.get(new, F.lit(0)), F.get(new, F.lit(1))
+            name = F.concat_ws(" ", titled(F.substring(given, F.lit(3), F.length(given))), titled(first))
+            whole = F.when(e["kind"] == "name", name).otherwise(first)
+            old = F.when(e["kind"] == "name", F.substring_index(e["m"], " ", -1))
+            return let(whole, lambda w: F.struct(laid_out(e["m"], e["kind"], w).alias("b"), old.alias("old"), titled(first).alias("new")))
+
+        return let(F.transform(parts(e), made), of)
 
     def of_kind(kind: str) -> Column:
         return F.coalesce(F.size(F.filter("found", lambda e: e["kind"] == kind)), F.lit(0))
 
+    def mentions_replaced(between: Column) -> Column:
+        names = F.filter("made", lambda e: F.length(e["old"]) >= 3)
+        alone = lambda e: F.concat(F.lit(r"(?<![\p{L}\p{M}])"), e["old"], F.lit(r"(?![\p{L}\p{M}])"))
+        done = F.aggregate(names, between, lambda t, e: F.regexp_replace(t, alone(e), F.when(e["old"] == F.upper(e["old"]), F.upper(e["new"])).otherwise(e["new"])))
+        return F.when(F.size(names) > 0, done).otherwise(between)
+
+    marked = marked.withColumn("made", F.transform("found", replaced))
     rebuilt = F.array_join(
         F.transform(
-            F.arrays_zip(F.split("text", ENTITY, -1).alias("a"), F.transform("found", replaced).alias("b")),
-            lambda z: F.concat(z["a"], F.coalesce(z["b"], F.lit(""))),
+            F.arrays_zip(F.split("text", ENTITY, -1).alias("a"), F.col("made").alias("b")),
+            lambda z: F.concat(mentions_replaced(z["a"]), F.coalesce(z["b"]["b"], F.lit(""))),
         ),
         "",
     )
@@ -330,7 +420,7 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     return marked.select(*kept, counts.alias("pii"))
 
 
-def pii_rows(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pii_rows(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, the rewritten text and the number of entities of each kind."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = replace_entities(source, key)
