@@ -36,13 +36,18 @@ def discard(*tables: DataFrame) -> None:
     Spark frees the files of an exchange when the driver's collector finds the
     exchange unused; a driver with little work may not collect for a long time.
     """
-    for table in tables:
-        landing.remove(table.sparkSession, table._written_to)
+    forget(*tables)
     if tables:
         gc.collect()
         tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
+def forget(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for table in tables:
+        landing.remove(table.sparkSession, table._written_to)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the session's Arrow batches by bytes, so that very long texts come few at a time."""
     try:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed_row, written
+from .common import forget, packed_row, written
 
 KEY = "driftwell-demonstration-key"
 #: The setting of a session that names its key; without it the demonstration key above is used.
@@ -323,10 +323,12 @@ def resolve(entities: DataFrame, key: str = KEY) -> DataFrame:
     for _ in range(ROUNDS):
         again = written(_collisions(named).select("kind", "norm"), "collisions")
         if again.isEmpty():
+            forget(again)
             return named
         moved = named.join(again.withColumn("moves", F.lit(1)), ["kind", "norm"], "left")
         moved = moved.withColumn("attempt", F.col("attempt") + F.coalesce(F.col("moves"), F.lit(0))).drop("moves")
-        named = written(with_surrogate(moved.drop("surrogate")), "entities")
+        before, named = named, written(with_surrogate(moved.drop("surrogate")), "entities")
+        forget(before, again)
     raise RuntimeError(f"surrogates still collide after {ROUNDS} attempts: a kind has more entities than surrogates")
 
 
@@ -357,7 +359,9 @@ def replace_entities(docs: DataFrame, key: str | None = None) -> DataFrame:
         .select("p.kind", "p.norm")
         .distinct()
     )
-    later = written(resolve(entities, key).filter("attempt > 0").select("kind", "norm", "attempt"), "attempts")
+    resolved = resolve(entities, key)
+    later = written(resolved.filter("attempt > 0").select("kind", "norm", "attempt"), "attempts")
+    forget(resolved)
     n = later.count()
     marked = rows.withColumn("found", F.when(hinted, described))
     if not n:

@@ -26,12 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, packed_row, written
+from .common import bounded_batches, forget, packed_row, written
 
 SHINGLE, SEED, BITS, LIMIT = 4, 42, 64, 4
 WIDTHS = (13, 13, 13, 13, 12)
 #: Fingerprints filed under one key that are compared by one task; more are split.
 BLOCK = 8192
+#: Tasks that the members of one component are dealt to when they learn its smallest id.
+SALTS = 32
 
 # The contract's word boundaries and lower-casing, A-Z only.
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -223,21 +225,23 @@ def components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         ends = edges.union(edges.select("y", "x"))
         hook = ends.groupBy("x").agg(F.min("y").alias("to")).filter("to < x")
-        hook = written(hook, "hooks")
+        held = hook = written(hook, "hooks")
         # Hooks only go down, so following them ends at a root; double them until they do.
         while True:
             far = hook.alias("h").join(hook.alias("g"), F.col("h.to") == F.col("g.x"), "left")
             far = written(far.select("h.x", F.coalesce("g.to", "h.to").alias("to"), F.col("g.to").isNotNull().alias("moved")), "hooks")
-            moved = far.filter("moved").isEmpty()
-            hook = far.drop("moved")
-            if moved:
+            forget(held)
+            still, held, hook = far.filter("moved").isEmpty(), far, far.drop("moved")
+            if still:
                 break
         stepped = roots.join(hook, F.col("root") == F.col("x"), "left")
-        roots = written(stepped.select("node", F.coalesce("to", "root").alias("root")), "roots")
+        before, roots = roots, written(stepped.select("node", F.coalesce("to", "root").alias("root")), "roots")
         a, b = hook.toDF("xa", "ta"), hook.toDF("xb", "tb")
         moved_links = edges.join(a, F.col("x") == F.col("xa"), "left").join(b, F.col("y") == F.col("xb"), "left")
         moved_links = moved_links.select(F.coalesce("ta", "x").alias("x"), F.coalesce("tb", "y").alias("y"))
-        edges = written(moved_links.filter("x != y").distinct(), "links")
+        done, edges = edges, written(moved_links.filter("x != y").distinct(), "links")
+        forget(held, before, done)
+    forget(edges)
     return roots
 
 
@@ -251,11 +255,17 @@ def clusters(docs: DataFrame) -> DataFrame:
     """
     rows = written(fingerprints(docs), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(near_links(nodes)).withColumnRenamed("node", "fp")
-    named = nodes.join(roots, "fp", "left").withColumn("cluster", F.coalesce("root", "fp")).drop("root")
-    named = written(named, "members")
-    least = named.groupBy("cluster").agg(F.min("least").alias("component_id"))
-    named = written(named.select("fp", "cluster").join(least, "cluster"), "named")
+    roots = components(near_links(nodes))
+    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumnRenamed("root", "cluster")
+    linked = written(linked, "members")
+    # A component may hold a third of all fingerprints: its members meet its smallest id in several tasks.
+    members, alone = linked.filter("cluster IS NOT NULL"), linked.filter("cluster IS NULL")
+    least = written(members.groupBy("cluster").agg(F.min("least").alias("component_id")), "least")
+    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = members.select("fp", "cluster", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt"))
+    told = salted.join(spread, ["cluster", "salt"]).select("fp", "cluster", "component_id")
+    named = written(told.unionByName(alone.select("fp", F.col("fp").alias("cluster"), F.col("least").alias("component_id"))), "named")
+    forget(nodes, roots, linked, least)
     return rows.join(named, "fp").select("doc_id", "fp", "cluster", "component_id")
 
 
