@@ -28,6 +28,8 @@ class HotPath:
     adaptive: bool = False
     min_batch_size: int = 50
     max_adaptive_batch: int = 1000
+    #: The rate counts only where it is asked for.
+    rate_limited: bool = False
     rate_per_second: int = 10_000
     burst: int = 1_000
     catch_up_events: int = 50
@@ -78,3 +80,7 @@ class Settings:
     peers: tuple[Peer, ...] = ()
     ping_interval_ms: int = 30_000
     idle_ms: int = 60_000
+    #: Times a failed run of the change log is started again, with growing pauses.
+    restarts: int = 0
+    #: Snapshot versions that are kept.
+    versions: int = 10

@@ -9,7 +9,6 @@ from . import positions
 from .compression import decoded, has_magic
 
 META = "struct<content_type:string,version:decimal(20,0),updated_at:bigint,trace_parent:string>"
-_RAW_META = "content_type string, version string, updated_at string, trace_parent string"
 
 
 def text_field(field: Column) -> Column:
@@ -28,16 +27,24 @@ def content_hash(data: Column) -> Column:
 
 
 def meta(text: Column) -> Column:
-    """The metadata struct, NULL unless all required fields are there and well typed."""
-    m = F.from_json(text, _RAW_META)
-    version = positions.unsigned(m["version"])
-    updated = F.when(m["updated_at"].rlike(r"^-?[0-9]+$"), m["updated_at"]).try_cast("bigint")
-    whole = m["content_type"].isNotNull() & version.isNotNull() & updated.isNotNull()
+    """The metadata struct, NULL unless all required fields are there and of their JSON type.
+
+    A number in quotes is no number, a number no text; a trace may be absent or
+    null but not of another type. A field named twice makes the document invalid.
+    """
+    document = F.try_parse_json(text)
+    field = lambda name, kind: F.try_variant_get(document, f"$.{name}", kind)
+    kind = lambda name: F.schema_of_variant(field(name, "variant"))
+    whole = lambda name: F.when(kind(name).rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$"), field(name, "string"))
+    content = F.when(kind("content_type") == "STRING", field("content_type", "string"))
+    version, updated = positions.unsigned(whole("version")), whole("updated_at").try_cast("bigint")
+    trace = kind("trace_parent")
+    good = content.isNotNull() & version.isNotNull() & updated.isNotNull() & (trace.isNull() | trace.isin("STRING", "VOID"))
     made = F.struct(
-        m["content_type"].alias("content_type"), version.alias("version"), updated.alias("updated_at"),
-        m["trace_parent"].alias("trace_parent"),
+        content.alias("content_type"), version.alias("version"), updated.alias("updated_at"),
+        field("trace_parent", "string").alias("trace_parent"),
     )
-    return F.when(whole, made)
+    return F.when(good, made)
 
 
 def trace_id(trace_parent: Column) -> Column:
@@ -59,9 +66,16 @@ def node_hash(text: Column) -> Column:
 
 
 def payload(document: Column) -> Column:
-    """First element of a JSON array (NULL if empty), any other text as it is."""
+    """First element of a JSON array as JSON (NULL if empty), any other text as it is: a string keeps its quotes."""
     is_array = document.rlike(r"^\s*\[") & F.json_array_length(document).isNotNull()
-    return F.when(is_array, F.get_json_object(document, "$[0]")).otherwise(document)
+    first = F.get_json_object(document, "$[0]")
+    quoted = F.regexp_extract(F.to_json(F.array(first)), r"(?s)^\[(.*)\]$", 1)
+    element = (
+        F.when(document.rlike(r'^\s*\[\s*"'), quoted)
+        .when(document.rlike(r"^\s*\[\s*null\s*[,\]]"), "null")
+        .otherwise(first)
+    )
+    return F.when(is_array, element).otherwise(document)
 
 
 def parse(feed: DataFrame, compressed: bool = True) -> DataFrame:

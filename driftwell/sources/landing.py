@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -10,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a private one only where that is unset.
+    """A new folder below spark.checkpoint.dir; a private one only where that is unset and Spark runs in one process.
 
     It is removed when the interpreter ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="driftwell-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/driftwell/{name}-{uuid.uuid4().hex}"
@@ -37,6 +40,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing if it is not there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in system.listStatus(target)] if system.exists(target) else []
+
+
 def land(feed: DataFrame, folder: str, files: int = 1) -> None:
     """Append a feed to a landing folder in ``files`` files of consecutive positions."""
     feed.repartitionByRange(files, "ms", "seq").write.mode("append").parquet(folder)

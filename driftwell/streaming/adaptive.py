@@ -67,6 +67,19 @@ class TokenBucket:
         self.tokens -= n
         return True
 
+    def acquire(self, n: int, sleep: Callable[[float], None] = time.sleep) -> float:
+        """Take ``n`` tokens, in portions of a burst, and wait as long as that takes; the seconds waited."""
+        waited = 0.0
+        while n > 0 and self.rate is not None:
+            portion = min(n, max(1, self.burst))
+            if self.try_acquire(portion):
+                n -= portion
+                continue
+            pause = max(self.wait_s(portion), 0.001)
+            sleep(pause)
+            waited += pause
+        return waited
+
     def wait_s(self, n: int = 1) -> float:
         """Seconds until ``n`` tokens are there."""
         return 0.0 if self.rate is None or self.tokens >= n else (n - self.tokens) / self.rate

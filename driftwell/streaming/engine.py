@@ -9,19 +9,21 @@ one ``Store``. Nothing row-like passes through the driver.
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from enum import Enum
 from typing import Protocol
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Peer, Settings
-from ..functions import parsing
+from ..functions import control, parsing
 from ..operators import compaction, cursors, health, merkle, repair
 from ..sources import landing
-from . import replication
+from . import adaptive, replication
 
 
 class State(Enum):
@@ -47,6 +49,7 @@ class PeerStatus:
     last_success_ms: int | None = None
     last_failure_ms: int | None = None
     backoff_until_ms: int = 0
+    last_error: str | None = None
 
     def circuit(self, now_ms: int) -> str:
         opened = self.failures >= self.peer.failure_threshold and self.last_failure_ms is not None
@@ -61,24 +64,45 @@ class RepairStats:
     items_submitted: int = 0
     items_deleted: int = 0
     errors: int = 0
+    #: What went wrong, by peer.
+    messages: dict[str, str] = field(default_factory=dict)
 
 
-#: Hash-tree path of a key: a bucket of its hash, then the key without dots.
-BUCKETS = 4096
+#: Children of a node of the key tree, and keys below its lowest one, about.
+FAN_OUT = 256
 
 
-def key_leaves(snapshot: DataFrame) -> DataFrame:
-    """Leaves (path, hash) of a snapshot, two levels deep whatever the keys look like."""
-    bucket = F.lpad(F.hex(F.pmod(F.xxhash64("object_id"), F.lit(BUCKETS))), 4, "0")
-    return snapshot.select(F.concat_ws(".", bucket, F.hex(F.encode("object_id", "utf-8"))).alias("path"), F.col("content_hash").alias("hash"))
+def tree_depth(keys: int) -> int:
+    """Levels of hash digits above the keys, so that no node gathers many more than FAN_OUT children."""
+    depth = 1
+    while FAN_OUT ** (depth + 1) < keys:
+        depth += 1
+    return depth
+
+
+def key_leaves(snapshot: DataFrame, depth: int) -> DataFrame:
+    """Leaves (path, hash) of a snapshot: ``depth`` pairs of digits of the key's hash, then the key without dots."""
+    digits = F.sha2(F.encode("object_id", "utf-8"), 256)
+    above = [F.substring(digits, 2 * i + 1, 2) for i in range(depth)]
+    return snapshot.select(
+        F.concat_ws(".", *above, F.hex(F.encode("object_id", "utf-8"))).alias("path"), F.col("content_hash").alias("hash")
+    )
+
+
+def root_hash(snapshot: DataFrame, keys: int) -> DataFrame:
+    """The one row that tells whether two snapshots are equal; both sides take the depth for the same number of keys."""
+    depth = tree_depth(keys)
+    return merkle.tree(key_leaves(snapshot, depth), depth + 1)[0]
 
 
 def differences(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """(key, action) between two snapshots; equal buckets are dropped before their keys are compared."""
-    sides = (landing.stored(key_leaves(side), "leaves") for side in (local, remote))
-    found = merkle.drill_down(*(merkle.tree(leaves, 2) for leaves in sides))
-    key = F.decode(F.unhex(F.substring_index("key", ".", -1)), "utf-8")
-    return found.select(key.alias("key"), "action")
+    """(key, action) between two snapshots.
+
+    Keys and hashes of both meet in one exchange: where both sides can be read,
+    a tree would have to be made of the same leaves first.
+    """
+    sides = (side.select(F.col("object_id").alias("path"), F.col("content_hash").alias("hash")) for side in (local, remote))
+    return merkle.differing(*sides).withColumnRenamed("path", "key")
 
 
 @dataclass
@@ -93,9 +117,18 @@ class Engine:
     accepting_writes: bool = True
     state: State = State.CREATED
     peers: dict[str, PeerStatus] = field(default_factory=dict)
+    sleep: Callable[[float], None] = time.sleep
+    #: Events a landed file holds, about: turns a batch size into files.
+    events_per_file: int = 1_000
+    #: How often something was held back or tried again, of this driver's run.
+    counts: Counter = field(default_factory=Counter)
 
     def __post_init__(self) -> None:
-        self.store = replication.Store(self.spark, self.folder)
+        hot, clock = self.settings.hot, lambda: self.now_ms() / 1000
+        self.store = replication.Store(self.spark, self.folder, keep=self.settings.versions)
+        self.batch = adaptive.BatchSize(hot)
+        self.limit = adaptive.TokenBucket(hot.rate_per_second if hot.rate_limited else None, hot.burst, clock)
+        self.writes = adaptive.Circuit(clock=clock)
         for peer in self.settings.peers:
             self.add_peer(peer)
 
@@ -115,8 +148,9 @@ class Engine:
     def connected_count(self) -> int:
         return sum(s.state == "Connected" for s in self.peers.values())
 
-    def record(self, node_id: str, ok: bool) -> None:
+    def record(self, node_id: str, ok: bool, error: str | None = None) -> None:
         s, now = self.peers[node_id], self.now_ms()
+        s.last_error = error
         if ok:
             s.failures, s.last_success_ms, s.backoff_until_ms = 0, now, 0
         else:
@@ -152,13 +186,43 @@ class Engine:
     # ---- hot path
 
     def catch_up(self, files_per_trigger: int | None = None, compressed: bool = True) -> int:
-        """Apply everything landed so far; the snapshot version reached."""
+        """Apply everything landed so far; the snapshot version reached.
+
+        Reads nothing while writes are not accepted or their circuit is open. A
+        failed run starts again after a pause, as often as the settings allow;
+        its batch is applied whole again.
+        """
         if not self.is_running():
             raise RuntimeError(f"not running but {self.state.name}")
-        feed = landing.tail(self.spark, self.landed, self.schema_like, files_per_trigger)
-        replication.replicate(feed, self.store, compressed).awaitTermination()
+        if not self.accepting_writes:
+            self.counts["paused"] += 1
+            return self.store.latest()
+        files = files_per_trigger or (max(1, self.batch.size // self.events_per_file) if self.settings.hot.adaptive else None)
+        for attempt in range(self.settings.restarts + 1):
+            before = self.store.latest()
+            feed = landing.tail(self.spark, self.landed, self.schema_like, files)
+            try:
+                replication.replicate(feed, self.store, compressed, self.settings.node_id, self._around).awaitTermination()
+                break
+            except StreamingQueryException:
+                if self.writes.state == "open":
+                    self.counts["rejected"] += 1
+                    return self.store.latest()
+                if attempt == self.settings.restarts:
+                    raise
+                self.counts["restarts"] += 1
+                self.sleep(control.RETRIES["daemon"].delay_ms(attempt + 1) / 1000)
+        if self.store.latest() == before:
+            self.batch.read(0)
         return self.store.latest()
 
+    def _around(self, rows: DataFrame, batch: int, apply: Callable[[], None]) -> None:
+        """Rate limit before a batch, the circuit of writes around it, the batch size after it."""
+        if self.settings.hot.rate_limited:
+            self.counts["waited_ms"] += round(1000 * self.limit.acquire(rows.count(), self.sleep))
+        self.writes.call(apply)
+        self.batch.read(self.store.metrics[batch]["events_read"])
+
     def delete(self, keys: DataFrame, folder: str) -> None:
         """Delete local keys and announce it: entries for peers are landed in ``folder``.
 
@@ -181,6 +245,42 @@ class Engine:
         now = self.now_ms()
         return sorted(n for n, s in self.peers.items() if s.state == "Connected" and s.backoff_until_ms <= now)
 
+    def catching_up(self) -> bool:
+        """Whether the last batch was large, or a peer's landed entries are older than the objective."""
+        return self.batch.catching_up or not replication.caught_up(self.lags(), self.settings.objectives.lag_ms)
+
+    def run_repairs(self, cycles: int) -> list[RepairStats | None]:
+        """Repair cycles at the settings' interval while the engine runs; None where the change log had to come first.
+
+        A cycle that takes longer than the interval puts off the next one; missed ones are not made up for.
+        """
+        out: list[RepairStats | None] = []
+        for _ in range(cycles):
+            if not self.is_running():
+                break
+            began = self.now_ms()
+            held = self.catching_up()
+            self.counts["repairs_skipped"] += held
+            out.append(None if held else self.repair_cycle())
+            spent, every = self.now_ms() - began, self.settings.cold.interval_ms
+            self.sleep((every - spent % every) / 1000)
+        return out
+
+    def ping_idle(self) -> list[str]:
+        """Ask peers that were not heard of for a while; those that fail are disconnected."""
+        now, gone = self.now_ms(), []
+        for name, s in self.peers.items():
+            if s.state != "Connected" or s.last_success_ms is not None and now - s.last_success_ms < self.settings.idle_ms:
+                continue
+            try:
+                self.remotes[name]().limit(1).count()
+                self.record(name, True)
+            except Exception as e:  # whatever a peer's reader raises
+                self.record(name, False, f"{type(e).__name__}: {e}"[:500])
+                s.state = "Disconnected"
+                gone.append(name)
+        return gone
+
     def repair_cycle(self) -> RepairStats:
         """Compare with each eligible peer in turn and merge what the budget allows.
 
@@ -193,9 +293,10 @@ class Engine:
             stats.peers_checked += 1
             try:
                 n = self._repair_with(name, room)
-            except Exception:
+            except Exception as e:  # whatever a peer's reader raises keeps only that peer out
                 stats.errors += 1
-                self.record(name, False)
+                stats.messages[name] = f"{type(e).__name__}: {e}"[:500]
+                self.record(name, False, stats.messages[name])
                 continue
             self.record(name, True)
             stats.peers_in_sync += not n["PUT"]

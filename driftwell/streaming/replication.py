@@ -8,6 +8,7 @@ version, so applying is idempotent; offsets are committed after the merge.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -25,8 +26,10 @@ class Store:
 
     spark: SparkSession
     folder: str
-    #: Counts observed while a batch was read, by batch, of this driver's run.
+    #: Counts observed while a batch was read, by batch, of this driver's run; ``all("observed")`` has every run's.
     metrics: dict[int, dict] = field(default_factory=dict)
+    #: Snapshot versions that stay when a batch is complete; all if None.
+    keep: int | None = None
 
     def path(self, kind: str, version: int) -> str:
         return f"{self.folder}/{kind}/v={version}"
@@ -52,13 +55,27 @@ class Store:
         merged.write.mode("overwrite").parquet(self.path(f"repaired-{self.repairs(version)}", version))
 
     def latest(self) -> int:
-        version = -1
-        while landing.exists(self.spark, self.path("snapshot", version + 1) + "/_SUCCESS"):
-            version += 1
-        return version
+        """The newest complete version, from one listing; an incomplete one can only be the last."""
+        for version in sorted(self.versions("snapshot"), reverse=True)[:2]:
+            if landing.exists(self.spark, self.path("snapshot", version) + "/_SUCCESS"):
+                return version
+        return -1
+
+    def versions(self, kind: str) -> list[int]:
+        return [int(n[2:]) for n in landing.names(self.spark, f"{self.folder}/{kind}") if n.startswith("v=")]
 
     def all(self, kind: str) -> DataFrame:
-        return self.spark.read.parquet(*[self.path(kind, v) for v in range(self.latest() + 1)])
+        last = self.latest()
+        return self.spark.read.parquet(*[self.path(kind, v) for v in sorted(self.versions(kind)) if 0 <= v <= last])
+
+    def prune(self, keep: int) -> None:
+        """Remove all but the newest ``keep`` snapshot versions and their repairs; a batch needs the one before it."""
+        oldest = self.latest() - max(1, keep) + 1
+        for kind in landing.names(self.spark, self.folder):
+            if kind == "snapshot" or kind.startswith("repaired-"):
+                for version in self.versions(kind):
+                    if version < oldest:
+                        landing.remove(self.spark, self.path(kind, version))
 
     def apply(self, feed: DataFrame, batch: int, compressed: bool = True) -> None:
         """Apply one micro-batch: rejects, counts, cursors and metrics beside the merged snapshot."""
@@ -75,11 +92,16 @@ class Store:
             ("rejects", parsing.rejects(parsed).select("peer_id", "stream_id", "reject_reason")),
             ("results", compaction.batch_result(pending, surviving)),
             ("cursors", cursors.bounds(parsed, "peer_id").select("peer_id", F.col("newest_id").alias("stream_id"), F.lit(batch).alias("at"))),
-            ("snapshot", compaction.merge(base, surviving)),  # last: its marker makes the batch complete
         ]
         for kind, rows in out:
             rows.write.mode("overwrite").parquet(self.path(kind, batch))
         self.metrics[batch] = seen.get
+        observed = self.spark.createDataFrame([(batch, *seen.get.values())], "batch long, events_read long, events_rejected long, newest_ms long")
+        observed.write.mode("overwrite").parquet(self.path("observed", batch))
+        # Last: its marker makes the batch complete.
+        compaction.merge(base, surviving).write.mode("overwrite").parquet(self.path("snapshot", batch))
+        if self.keep is not None:
+            self.prune(self.keep)
         surviving.unpersist()
         parsed.unpersist()
 
@@ -87,14 +109,21 @@ class Store:
         return self.all("cursors").groupBy("peer_id").agg(F.max_by("stream_id", "at").alias("stream_id"))
 
 
-def replicate(feed: DataFrame, store: Store, compressed: bool = True) -> StreamingQuery:
-    """Run through everything landed so far, then stop; a later call goes on from there."""
-    return (
-        feed.writeStream.foreachBatch(lambda rows, batch: store.apply(rows, batch, compressed))
-        .option("checkpointLocation", f"{store.folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+def replicate(
+    feed: DataFrame, store: Store, compressed: bool = True, name: str | None = None,
+    around: Callable[[DataFrame, int, Callable[[], None]], None] | None = None,
+) -> StreamingQuery:
+    """Run through everything landed so far, then stop; a later call goes on from there.
+
+    ``around`` gets each batch's rows, its id and what applies it: limits and circuits stand there.
+    """
+
+    def batch_done(rows: DataFrame, batch: int) -> None:
+        apply = lambda: store.apply(rows, batch, compressed)
+        around(rows, batch, apply) if around else apply()
+
+    writer = feed.writeStream.foreachBatch(batch_done).option("checkpointLocation", f"{store.folder}/checkpoint")
+    return (writer.queryName(name) if name else writer).trigger(availableNow=True).start()
 
 
 def dry_run(feed: DataFrame, folder: str, compressed: bool = True) -> StreamingQuery:
