@@ -32,10 +32,11 @@ def meta(text: Column) -> Column:
     A number in quotes is no number, a number no text; a trace may be absent or
     null but not of another type. A field named twice makes the document invalid.
     """
-    document = F.try_parse_json(text)
+    document, raw = F.try_parse_json(text), F.from_json(text, "version string, updated_at string")
     field = lambda name, kind: F.try_variant_get(document, f"$.{name}", kind)
     kind = lambda name: F.schema_of_variant(field(name, "variant"))
-    whole = lambda name: F.when(kind(name).rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$"), field(name, "string"))
+    # A variant takes 5.0 for 5; the document's own text tells them apart.
+    whole = lambda name: F.when((kind(name) != "STRING") & raw[name].rlike("^-?[0-9]+$"), raw[name])
     content = F.when(kind("content_type") == "STRING", field("content_type", "string"))
     version, updated = positions.unsigned(whole("version")), whole("updated_at").try_cast("bigint")
     trace = kind("trace_parent")

@@ -7,6 +7,8 @@ one row; keys are laid out so that no parent has very many of them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,14 @@ def tree(leaves: DataFrame, depth: int) -> list[DataFrame]:
     return levels
 
 
+def stored_tree(leaves: DataFrame, depth: int, store: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
+    """The same with every level stored, so that each is made once, of the one below."""
+    levels = [placed(leaves)]
+    for _ in range(depth):
+        levels.insert(0, store(parents(levels[0])))
+    return levels
+
+
 def children(nodes: DataFrame, path: str) -> DataFrame:
     return nodes.filter(F.col("parent") == path).orderBy("segment").select("segment", "hash")
 

@@ -109,9 +109,9 @@ def divergent_branches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def divergent_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Leaves are stored first: every level is made of them, and texts should be hashed once."""
+    """Leaves and nodes are stored, so texts are hashed and levels made once."""
     sides = (landing.stored(fx.leaves(spark, sf, side), side) for side in ("local", "remote"))
-    return merkle.drill_down(*(merkle.tree(leaves, fx.DEPTH) for leaves in sides))
+    return merkle.drill_down(*(merkle.stored_tree(leaves, fx.DEPTH, lambda t: landing.stored(t, "nodes")) for leaves in sides))
 
 
 def divergent_by_leaf(spark: SparkSession, sf: str) -> DataFrame:
@@ -287,6 +287,78 @@ def adaptive_sizes(spark: SparkSession, sf: str) -> DataFrame:
                                  "read int, events int, size int, catching_up boolean")
 
 
+def string_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Values stored as arrays of a string, a number, null or nothing."""
+    kind = F.col("user_id") % 5
+    text = F.concat(F.lit('say \\"'), F.col("user_id").cast("string"), F.lit('\\" ü/'))
+    value = (
+        F.when(kind == 0, F.concat(F.lit('[ "'), text, F.lit('", 1]'))).when(kind == 1, F.concat(F.lit("["), F.col("user_id").cast("string"), F.lit("]")))
+        .when(kind == 2, "[null]").when(kind == 3, "[]").otherwise(F.concat(F.lit('["a", '), F.col("user_id").cast("string")))
+    )
+    users = fx.table(spark, sf, "events").select("user_id").distinct().select(F.col("user_id").cast("string").alias("key"), value.alias("value"))
+    return peer.items(users.select("key"), users.select(parsing.prefixed(F.lit("s:"), F.col("key")).alias("stored_key"), "value"), "s:")
+
+
+# Metadata documents; what each amounts to is stated in the SQL.
+METADATA = (
+    '{"content_type":"t","version":5,"updated_at":-7}', '{"content_type":"t","version":"5","updated_at":1}',
+    '{"content_type":5,"version":5,"updated_at":1}', '{"content_type":"t","version":5,"updated_at":"1"}',
+    '{"content_type":"t","version":-5,"updated_at":1}', '{"content_type":"t","version":5.0,"updated_at":1}',
+    '{"content_type":"t","version":18446744073709551615,"updated_at":1,"trace_parent":null,"more":[1]}',
+    '{"content_type":"t","version":18446744073709551616,"updated_at":1}', '{"content_type":"t","version":5,"updated_at":1,"trace_parent":3}',
+    '{"content_type":"t","version":5,"updated_at":1,"trace_parent":"00-a-b-01"}', '{"content_type":"t","version":5}', "[]", "x",
+    '{"content_type":"t","version":5,"updated_at":9223372036854775808}', '{"content_type":null,"version":5,"updated_at":1}',
+)
+
+
+def typed_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame(list(enumerate(METADATA)), "n int, t string").withColumn("m", parsing.meta(F.col("t")))
+    return rows.select("n", F.col("m").isNotNull().alias("whole"), F.col("m.version").cast("string").alias("version"), "m.updated_at", "m.trace_parent")
+
+
+# Zstd frames of the texts "", "hello hello hello" and {"a":1}, one cut short, one with a wrong body, and bytes that are none.
+FRAMES = (
+    "28b52ffd2000010000", "28b52ffd20116500003068656c6c6f200100314a11", "28b52ffd20073900007b2261223a317d",
+    "28b52ffd20116500003068656c6c", "28b52ffdffffffffffffffff", "28b52f", "",
+)
+
+
+def compressed_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries with compressed payloads, parsed as any feed."""
+    rows = [(f"{i}-0", "PUT", f"k{i}", bytes.fromhex(f), None, None) for i, f in enumerate(FRAMES)]
+    feed = spark.createDataFrame(rows, "stream_id string, op string, key string, data binary, hash string, meta string")
+    out = parsing.parse(feed, compressed=True)
+    return out.select("key", F.octet_length("data").cast("long").alias("bytes"), parsing.content_hash(F.col("data")).alias("sha"), "reject_reason")
+
+
+def batch_trace(spark: SparkSession, sf: str) -> DataFrame:
+    reads = [60, 70, 0, 0, 50, 49, 55, 0]
+    rows = [(i, n, s, c) for i, (n, (s, c)) in enumerate(zip(reads, adaptive.sizes(HotPath(adaptive=True), reads), strict=True))]
+    return spark.createDataFrame(rows, "read int, events int, size int, catching_up boolean")
+
+
+def observed_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """What the streamed batches have counted, together."""
+    seen = _streamed(spark, sf).all("observed")
+    return seen.agg(F.sum("events_read").alias("events_read"), F.sum("events_rejected").alias("events_rejected"), F.max("newest_ms").alias("newest_ms"))
+
+
+def circuit_states(spark: SparkSession, sf: str) -> DataFrame:
+    """The clock counts events; it stands one reset time after the least recent of the peers' last calls."""
+    runs = health.failure_runs(fx.outcomes(spark, sf))
+    now = runs.agg(F.min("last_at")).first()[0] + 1
+    return health.circuit(runs, F.lit(now), threshold=1, reset_ms=1).select("peer_id", "failures", "circuit")
+
+
+def _nodes(spark: SparkSession, sf: str) -> DataFrame:
+    levels = _tree(spark, sf)
+    return levels[0].unionByName(levels[1]).unionByName(levels[2])
+
+
+def _hexed(df: DataFrame) -> DataFrame:
+    return df.withColumn("hash", F.lower(F.hex("hash")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "cdc_parse_valid": parse_valid,
@@ -339,6 +411,14 @@ def queries() -> dict[str, Query]:
         "node_hashes": node_hashes,
         "stream_apply_equivalence": stream_apply,
         "stream_cursor_table": stream_cursors,
+        "peer_string_items": string_items,
+        "peer_root": lambda s, d: _hexed(peer.root(_nodes(s, d))),
+        "peer_children": lambda s, d: _hexed(peer.children(_nodes(s, d))),
+        "cdc_typed_metadata": typed_metadata,
+        "cdc_compressed_entries": compressed_entries,
+        "adaptive_batch_trace": batch_trace,
+        "stream_observed_batches": observed_batches,
+        "circuit_states": circuit_states,
         "zstd_decode": zstd_decode,
         "adaptive_batch_sizes": adaptive_sizes,
     }

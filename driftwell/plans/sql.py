@@ -196,4 +196,23 @@ QUERIES: dict[str, str] = {
     "node_hashes": tree("SELECT path, lower(hash) AS hash FROM m1 WHERE length(hash) = 64"),
     "stream_apply_equivalence": feed("SELECT key AS object_id, hash AS content_hash FROM pending WHERE op = 'PUT'"),
     "stream_cursor_table": feed("SELECT peer_id, newest_id AS stream_id FROM lim"),
+    "peer_string_items": """SELECT user_id::VARCHAR AS key, CASE user_id % 5 WHEN 0 THEN '"say \\"' || user_id || '\\" ü/"'
+        WHEN 1 THEN user_id::VARCHAR WHEN 2 THEN 'null' WHEN 3 THEN NULL ELSE '["a", ' || user_id END AS content
+        FROM (SELECT DISTINCT user_id FROM events)""",
+    "peer_root": tree("SELECT lower(hash) AS hash FROM m0"),
+    "peer_children": tree("""SELECT parent, segment, lower(hash) AS hash FROM m1 UNION ALL SELECT parent, segment, lower(hash) FROM m2"""),
+    "cdc_typed_metadata": """WITH v(n, whole, version, updated_at, trace_parent) AS (VALUES (0, true, '5', -7, NULL), (1, false, NULL, NULL, NULL),
+        (2, false, NULL, NULL, NULL), (3, false, NULL, NULL, NULL), (4, false, NULL, NULL, NULL), (5, false, NULL, NULL, NULL),
+        (6, true, '18446744073709551615', 1, NULL), (7, false, NULL, NULL, NULL), (8, false, NULL, NULL, NULL), (9, true, '5', 1, '00-a-b-01'),
+        (10, false, NULL, NULL, NULL), (11, false, NULL, NULL, NULL), (12, false, NULL, NULL, NULL), (13, false, NULL, NULL, NULL),
+        (14, false, NULL, NULL, NULL)) SELECT n, whole, version, updated_at::BIGINT AS updated_at, trace_parent FROM v""",
+    "cdc_compressed_entries": """WITH v(key, plain, reject_reason) AS (VALUES ('k0', '', NULL), ('k1', 'hello hello hello', NULL), ('k2', '{"a":1}', NULL),
+        ('k3', NULL, 'bad_frame'), ('k4', NULL, 'bad_frame'), ('k5', '(µ/', NULL), ('k6', '', NULL))
+        SELECT key, CASE WHEN key = 'k5' THEN 3 ELSE strlen(plain) END AS bytes, CASE WHEN key = 'k5' THEN sha256(unhex('28b52f'))
+        ELSE sha256(plain) END AS sha, reject_reason FROM v""",
+    "adaptive_batch_trace": """SELECT * FROM (VALUES (0, 60, 200, true), (1, 70, 200, true), (2, 0, 180, false), (3, 0, 162, false), (4, 50, 324, true),
+        (5, 49, 324, false), (6, 55, 648, true), (7, 0, 584, false)) AS t(read, events, size, catching_up)""",
+    "stream_observed_batches": feed("SELECT count(*)::BIGINT AS events_read, count(reject_reason)::BIGINT AS events_rejected, max(ms) AS newest_ms FROM parsed"),
+    "circuit_states": feed("""SELECT peer_id, failures, CASE WHEN failures >= 1 AND (SELECT min(last_at) + 1 FROM runs) - last_at < 1
+        THEN 'Open' ELSE 'Closed' END AS circuit FROM runs"""),
 }
