@@ -34,6 +34,8 @@ WIDTHS = (13, 13, 13, 13, 12)
 BLOCK = 8192
 #: Tasks that the members of one component are dealt to when they learn its smallest id.
 SALTS = 32
+#: Components whose smallest ids may be broadcast, 16 bytes each.
+SENT = 100_000
 
 # The contract's word boundaries and lower-casing, A-Z only.
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -261,9 +263,13 @@ def clusters(docs: DataFrame) -> DataFrame:
     # A component may hold a third of all fingerprints: its members meet its smallest id in several tasks.
     members, alone = linked.filter("cluster IS NOT NULL"), linked.filter("cluster IS NULL")
     least = written(members.groupBy("cluster").agg(F.min("least").alias("component_id")), "least")
-    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = members.select("fp", "cluster", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt"))
-    told = salted.join(spread, ["cluster", "salt"]).select("fp", "cluster", "component_id")
+    if least.count() <= SENT:
+        told = members.join(F.broadcast(least), "cluster").select("fp", "cluster", "component_id")
+    else:
+        # Never broadcast: Spark takes the size before the salts for that of the copies.
+        spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+        salted = members.select("fp", "cluster", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt"))
+        told = salted.join(spread, ["cluster", "salt"]).select("fp", "cluster", "component_id")
     named = written(told.unionByName(alone.select("fp", F.col("fp").alias("cluster"), F.col("least").alias("component_id"))), "named")
     forget(nodes, roots, linked, least)
     return rows.join(named, "fp").select("doc_id", "fp", "cluster", "component_id")
