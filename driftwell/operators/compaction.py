@@ -68,4 +68,26 @@ def merge(snapshot: DataFrame, actions: DataFrame) -> DataFrame:
     )
 
 
+def overlaid(snapshot: DataFrame, layers: list[DataFrame]) -> DataFrame:
+    """Snapshot after several sets of operations, oldest first.
+
+    Only the layers are grouped by key. The snapshot loses the keys they name,
+    by a broadcast of these where Spark knows them to be few, and is not
+    exchanged then.
+    """
+    if not layers:
+        return snapshot
+    every = [rows.select("key", F.struct("op", "data", "hash", "version").alias("change"), F.lit(n).alias("at")) for n, rows in enumerate(layers)]
+    union = every[0]
+    for rows in every[1:]:
+        union = union.unionByName(rows)
+    last = union.groupBy("key").agg(F.max_by("change", "at").alias("change")) if len(layers) > 1 else union
+    named = union.select(F.col("key").alias("object_id"))
+    put = last.filter("change.op = 'PUT'").select(
+        F.col("key").alias("object_id"), F.col("change.data").alias("content"), F.col("change.hash").alias("content_hash"), "change.version"
+    )
+    return snapshot.join(named, "object_id", "left_anti").select(*put.columns).unionByName(put)
+
+
 EMPTY = "object_id string, content binary, content_hash string, version decimal(20,0)"
+OPERATIONS = "key string, op string, data binary, hash string, version decimal(20,0)"

@@ -40,6 +40,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True).close()
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of the files below a folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
 def names(spark: SparkSession, path: str) -> list[str]:
     """What a folder holds; nothing if it is not there."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..config import Peer, Settings
 from ..functions import control, parsing
-from ..operators import compaction, cursors, health, merkle, repair
+from ..operators import cursors, health, merkle, repair
 from ..sources import landing
 from . import adaptive, replication
 
@@ -237,7 +237,8 @@ class Engine:
         )
         none = {c: F.lit(None).cast(t) for c, t in (("hash", "string"), ("data", "binary"), ("meta", "string"))}
         landing.land(entries.withColumn("stream_id", F.concat_ws("-", "ms", "seq")).withColumns(none), folder)
-        self.store.commit_repair(held.join(gone, "object_id", "left_anti"), version)
+        none = {c: F.lit(None).cast(t) for c, t in (("data", "binary"), ("hash", "string"), ("version", "decimal(20,0)"))}
+        self.store.commit_repair(gone.select(F.col("object_id").alias("key"), F.lit("DELETE").alias("op")).withColumns(none), version)
 
     # ---- cold path
 
@@ -318,7 +319,7 @@ class Engine:
         n = {"fetch": plan.filter("action = 'fetch'").count(), "PUT": 0, "DELETE": 0}
         n |= {r["op"]: r["count"] for r in operations.groupBy("op").count().collect()}
         if n["PUT"] or n["DELETE"]:
-            self.store.commit_repair(compaction.merge(local, operations), version)
+            self.store.commit_repair(operations, version)
         operations.unpersist()
         plan.unpersist()
         return n

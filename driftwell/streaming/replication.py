@@ -1,9 +1,11 @@
 """The change log as a stream: a thin shell over the batch operators.
 
-Each micro-batch is parsed, compacted, checked against the snapshot of the
-batch before and merged into a new snapshot version named after the batch id. A
-batch that is run again after a failure reads the same base and writes the same
-version, so applying is idempotent; offsets are committed after the merge.
+Each micro-batch is parsed, compacted and checked against the snapshot of the
+batch before. What is left of it makes a new snapshot version, named after the
+batch id: a layer of operations over the last whole table, or a new whole table
+once the layers have grown. A batch that is run again after a failure reads the
+same base and writes the same version, so applying is idempotent; offsets are
+committed after it.
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ from ..operators import compaction, cursors
 from ..sources import landing
 
 
+#: Operations since the last whole table that make a new one due: by bytes, as a share of it, and by tables.
+LAYER_SHARE, LAYERS = 0.125, 16
+
+
 @dataclass
 class Store:
     """Snapshot versions, rejects, batch results and cursors below one shared folder."""
@@ -36,12 +42,42 @@ class Store:
 
     def snapshot(self, version: int) -> DataFrame:
         """The snapshot as of a batch, repaired if it was; before the first batch it is empty but for repairs."""
-        n = self.repairs(version)
-        if n:
-            return self.spark.read.parquet(self.path(f"repaired-{n - 1}", version))
-        if version < 0:
-            return self.spark.createDataFrame([], compaction.EMPTY)
-        return self.spark.read.parquet(self.path("snapshot", version))
+        whole, since = self.layers(version)
+        base = self.spark.read.parquet(whole) if whole else self.spark.createDataFrame([], compaction.EMPTY)
+        return compaction.overlaid(base, [self.spark.read.schema(compaction.OPERATIONS).parquet(path) for path in since])
+
+    def layers(self, version: int) -> tuple[str | None, list[str]]:
+        """The newest whole table up to a batch, and the operations since then, oldest first."""
+        since: list[str] = []
+        for v in range(version, -2, -1):
+            paths = [self.path("snapshot", v)] * (v >= 0) + [self.path(f"repaired-{n}", v) for n in range(self.repairs(v))]
+            for path in reversed(paths):
+                if landing.exists(self.spark, self._whole(path)):
+                    return path, since[::-1]
+                since.append(path)
+        return None, since[::-1]
+
+    def _whole(self, path: str) -> str:
+        """The mark of a table that holds all rows, not only operations."""
+        return f"{self.folder}/whole/" + "-".join(path.split("/")[-2:])
+
+    def _write(self, operations: DataFrame, version: int, path: str) -> None:
+        """Write operations on a version as a layer, or the whole table once the layers have grown.
+
+        A whole table is written when the operations since the last one amount
+        to a share of it (``LAYER_SHARE``) or to ``LAYERS`` tables, so that the
+        bytes written stay in proportion to the bytes that changed.
+        """
+        whole, since = self.layers(version)
+        mark, grown = self._whole(path), sum(landing.size(self.spark, p) for p in since)
+        if whole is None or len(since) >= LAYERS or grown > LAYER_SHARE * landing.size(self.spark, whole):
+            rows = compaction.merge(self.snapshot(version), operations)
+            landing.mark(self.spark, mark)
+        else:
+            kinds = [c.split() for c in compaction.OPERATIONS.split(", ")]
+            rows = operations.select(*[F.col(c).cast(t).alias(c) for c, t in kinds])
+            landing.remove(self.spark, mark)
+        rows.write.mode("overwrite").parquet(path)
 
     def repairs(self, version: int) -> int:
         """How many repairs of a batch's snapshot are complete."""
@@ -50,9 +86,9 @@ class Store:
             n += 1
         return n
 
-    def commit_repair(self, merged: DataFrame, version: int) -> None:
-        """A repaired snapshot stands beside the one it was made from; the next batch starts from it."""
-        merged.write.mode("overwrite").parquet(self.path(f"repaired-{self.repairs(version)}", version))
+    def commit_repair(self, operations: DataFrame, version: int) -> None:
+        """Repairs stand beside the snapshot they were made for; the next batch starts from them."""
+        self._write(operations, version, self.path(f"repaired-{self.repairs(version)}", version))
 
     def latest(self) -> int:
         """The newest complete version, from one listing; an incomplete one can only be the last."""
@@ -69,8 +105,12 @@ class Store:
         return self.spark.read.parquet(*[self.path(kind, v) for v in sorted(self.versions(kind)) if 0 <= v <= last])
 
     def prune(self, keep: int) -> None:
-        """Remove all but the newest ``keep`` snapshot versions and their repairs; a batch needs the one before it."""
+        """Remove all but the newest ``keep`` snapshot versions, their repairs and what they rest on."""
         oldest = self.latest() - max(1, keep) + 1
+        if oldest < 0:
+            return
+        whole, _ = self.layers(oldest)
+        oldest = int(whole.rpartition("=")[2]) if whole else -1
         for kind in landing.names(self.spark, self.folder):
             if kind == "snapshot" or kind.startswith("repaired-"):
                 for version in self.versions(kind):
@@ -85,9 +125,11 @@ class Store:
             F.max("ms").cast("long").alias("newest_ms"),
         )
         parsed = parsed.persist()
-        base = self.snapshot(batch - 1)
-        pending = compaction.latest_wins(compaction.applicable(parsing.valid(parsed)))
-        surviving = compaction.not_current(pending, base).persist()
+        pending = compaction.latest_wins(compaction.applicable(parsing.valid(parsed))).persist()
+        # Few keys of the snapshot are pending: only theirs meet the operations.
+        named = pending.select(F.col("key").alias("object_id"))
+        held = self.snapshot(batch - 1).join(named, "object_id", "left_semi")
+        surviving = compaction.not_current(pending, held).persist()
         out = [
             ("rejects", parsing.rejects(parsed).select("peer_id", "stream_id", "reject_reason")),
             ("results", compaction.batch_result(pending, surviving)),
@@ -99,10 +141,11 @@ class Store:
         observed = self.spark.createDataFrame([(batch, *seen.get.values())], "batch long, events_read long, events_rejected long, newest_ms long")
         observed.write.mode("overwrite").parquet(self.path("observed", batch))
         # Last: its marker makes the batch complete.
-        compaction.merge(base, surviving).write.mode("overwrite").parquet(self.path("snapshot", batch))
+        self._write(surviving, batch - 1, self.path("snapshot", batch))
         if self.keep is not None:
             self.prune(self.keep)
         surviving.unpersist()
+        pending.unpersist()
         parsed.unpersist()
 
     def cursor_table(self) -> DataFrame:
