@@ -31,7 +31,8 @@ def budgeted_by_peer(differences: DataFrame, items: int) -> DataFrame:
         "peer_id", F.least("fetches", room).alias("fetch"), F.greatest(room - F.col("fetches"), F.lit(0)).alias("delete")
     )
     rank = F.row_number().over(Window.partitionBy("peer_id", "action").orderBy("key"))
-    told = differences.withColumn("_nth", rank).join(may, "peer_id")
+    # No share is larger than the budget, so every partition keeps that many rows of a peer and action before the exchange.
+    told = differences.withColumn("_nth", rank).filter(F.col("_nth") <= items).join(may, "peer_id")
     allowed = F.when(F.col("action") == "fetch", F.col("fetch")).otherwise(F.col("delete"))
     return told.filter(F.col("_nth") <= allowed).select("peer_id", "key", "action")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import ColdPath, HotPath, Objectives
 from ..functions import compression, control, parsing, positions
-from ..operators import compaction, cursors, health, merkle, repair
+from ..operators import batching, compaction, cursors, health, merkle, repair
 from ..sources import fixtures as fx
 from ..sources import landing, peer
 from ..streaming import adaptive, replication
@@ -223,6 +223,13 @@ def batch_windows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("peer_id", batch).agg(F.count("*").alias("events"), F.count_distinct("key").alias("keys"))
 
 
+def batch_closings(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches of at most four keys and 50 ms; the clock runs 40,000 times as fast, so that batches hold several changes."""
+    rows = parsing.valid(fx.parsed(spark, sf)).withColumn("ms", F.expr("ms div 40000"))
+    found = batching.batches(rows, "peer_id", 4, HotPath().batch_timeout_ms)
+    return _as_long(found, "first_ms", "first_seq", "last_ms", "last_seq")
+
+
 def peer_items(spark: SparkSession, sf: str) -> DataFrame:
     """Values stored as JSON array, as plain text, and as an empty array."""
     e = fx.table(spark, sf, "events")
@@ -407,6 +414,7 @@ def queries() -> dict[str, Query]:
         "retryable_errors": retryable_errors,
         "metric_rollup": metric_rollup,
         "batch_windows": batch_windows,
+        "batch_closings": batch_closings,
         "peer_items": peer_items,
         "node_hashes": node_hashes,
         "stream_apply_equivalence": stream_apply,

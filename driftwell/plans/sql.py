@@ -101,6 +101,21 @@ def two_trees(query: str) -> str:
     return f"WITH {LOCAL}, {REMOTE}, {DIFFS} {query}"
 
 
+CLOSINGS = f"""WITH RECURSIVE {FEED},
+line AS (SELECT peer_id, ms // 40000 AS ms, seq, CASE WHEN op = 'DELETE' OR hash IS NOT NULL THEN key END AS key,
+    row_number() OVER (PARTITION BY peer_id ORDER BY ms // 40000, seq) AS n FROM good),
+walk AS (
+  SELECT peer_id, n, ms AS began, n AS head, CASE WHEN key IS NULL THEN [] ELSE [key] END AS keys FROM line WHERE n = 1
+  UNION ALL
+  SELECT l.peer_id, l.n, CASE WHEN w.fresh THEN l.ms ELSE w.began END, CASE WHEN w.fresh THEN l.n ELSE w.head END,
+    CASE WHEN l.key IS NULL THEN w.kept WHEN list_contains(w.kept, l.key) THEN w.kept ELSE list_append(w.kept, l.key) END
+  FROM (SELECT x.*, y.ms AS next_ms, len(x.keys) >= 4 OR y.ms - x.began >= 50 AS fresh,
+      CASE WHEN len(x.keys) >= 4 OR y.ms - x.began >= 50 THEN [] ELSE x.keys END AS kept
+    FROM walk x JOIN line y ON y.peer_id = x.peer_id AND y.n = x.n + 1) w JOIN line l ON l.peer_id = w.peer_id AND l.n = w.n + 1)
+SELECT w.peer_id, min(l.ms) AS first_ms, arg_min(l.seq, l.n) AS first_seq, max(l.ms) AS last_ms, arg_max(l.seq, l.n) AS last_seq,
+  count(*) AS events, max(len(w.keys)) AS keys, max(len(w.keys)) >= 4 AS full
+FROM walk w JOIN line l USING (peer_id, n) GROUP BY w.peer_id, w.head"""
+
 QUERIES: dict[str, str] = {
     "cdc_parse_valid": feed("""SELECT peer_id, stream_id, ms, seq, op, key, hash, data,
         CASE WHEN has_meta THEN 'application/json' END AS content_type, CASE WHEN has_meta THEN event_id END AS version,
@@ -191,6 +206,7 @@ QUERIES: dict[str, str] = {
     "metric_rollup": feed("""SELECT peer_id, kind, count(*) AS counter, arg_max(value, pos) AS gauge, min(value) AS least, max(value) AS most,
         count(*) FILTER (WHERE value <= 10) AS le_10, count(*) FILTER (WHERE value <= 100) AS le_100 FROM outcomes GROUP BY ALL"""),
     "batch_windows": feed("SELECT peer_id, ms // 50 AS batch, count(*) AS events, count(DISTINCT key) AS keys FROM good GROUP BY ALL"),
+    "batch_closings": CLOSINGS,
     "peer_items": """SELECT 'user.' || user_id AS key, CASE WHEN max(event_id) % 3 = 0 THEN replace(arg_max(props, event_id), ': ', ':')
         WHEN max(event_id) % 3 = 1 THEN 'payload-' || max(event_id) END AS content FROM events GROUP BY user_id""",
     "node_hashes": tree("SELECT path, lower(hash) AS hash FROM m1 WHERE length(hash) = 64"),
